@@ -30,8 +30,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/atomweave/{tag}-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of a query when it has ended."""
+    for kind in ("", "classic."):
+        spark.conf.set(f"spark.sql.{kind}shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, has a known size."""
+    tidy(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -51,6 +58,15 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/atomweave/" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, topk
+from . import language, mixing, quality, sharding, sstable, substrings, topk
 
 QUERIES = {
+    "op2_language": language.op2_language,
     "op4_mixing": mixing.op4_mixing,
+    "op6_token_shards": sstable.op6_token_shards,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality": quality.op8_quality,
+    "op9_substrings": substrings.op9_substrings,
     "op10_topk": topk.op10_topk,
 }
 ORACLE_SQL = {"op10_topk": topk.ORACLE}
