@@ -3,8 +3,9 @@
 Terms are dimensions. A shard shifts each term's contribution so that none is negative: for query weight q and the
 shard's least and greatest value of the term, the score bound of the term is max(q*lo, q*hi) - min(q*lo, q*hi). Terms
 are sorted by bound; against the running k-th score, those whose bounds can't lift a candidate over it by themselves
-are non-essential. Essential postings are traversed for all candidates of the shard, the others are probed, term block
-by term block, only for candidates that are still competitive. Shards' lists are merged by score.
+are non-essential. Essential postings are traversed for all candidates of the shard, the others are probed, a few terms at
+a time, only for candidates that are still competitive. A block of queries shares the order of terms and the traversal;
+bounds and k-th scores are each query's own. Shards' lists are merged by score.
 """
 
 from __future__ import annotations
@@ -38,54 +39,49 @@ def _pack(df: DataFrame, block_rows: int) -> DataFrame:
 
 
 def maxscore(queries: np.ndarray, qids: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int):
-    """(query row, id, score) of the k best of each query in one shard, ties to the smaller id, the query's own left out."""
+    """(query id, id, score) of the k best of each query of a block in one shard, ties to the smaller id, the query's own left out."""
     order = np.argsort(ids, kind="stable")
     docs, ids = docs[order], ids[order]
-    lo, hi = docs.min(0), docs.max(0)
-    small = max(np.abs(docs).max(initial=0), 1) * max(np.abs(queries).max(initial=0), 1) * docs.shape[1] < 2**52
-    work = docs.astype(np.float64) if small else docs.astype(object)
-    out = []
-    for r in range(len(queries)):
-        q = queries[r].astype(np.float64 if small else object)
-        a, b = q * lo, q * hi
-        base, bound = np.minimum(a, b), np.abs(b - a)
-        terms = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum((np.maximum(a, b))[terms][::-1])[::-1], [0]])  # best that terms i.. can add
-        alive = np.flatnonzero(ids != qids[r])
-        if not len(alive):
-            continue
-        seed = alive[:: max(1, len(alive) // (4 * k))][: 8 * k]
-        first = work[seed] @ q
-        theta = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None
-        i, score = 0, np.zeros(len(alive), work.dtype)
-        # essential terms: as long as the rest alone could still reach theta
-        n_terms = len(terms)
-        essential = n_terms if theta is None else max(PROBE, int(np.count_nonzero(rest[:-1] >= theta)) // 2)
-        while i < n_terms:
-            step = terms[i : i + (essential if i == 0 else PROBE)]
-            score = score + (work[:, step] @ q[step] if len(alive) == len(work) else work[np.ix_(alive, step)] @ q[step])
-            i += len(step)
-            if theta is not None and i < n_terms:
-                stay = score + rest[i] >= theta
-                if not stay.all():
-                    alive, score = alive[stay], score[stay]
-                if len(alive) > k:
-                    floor = score + rest_low(base, terms, i)
-                    theta = max(theta, np.partition(floor, len(floor) - k)[len(floor) - k])
-        top = np.lexsort((ids[alive], -score))[:k]
-        out.append((np.full(len(top), qids[r]), ids[alive][top], score[top].astype(np.int64)))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def rest_low(base, terms, i):
-    """Least that terms i.. can add."""
-    return base[terms[i:]].sum()
-
-
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 20, doc_block: int = 4096, query_block: int = 512) -> DataFrame:
+    exact = int(np.abs(docs).max(initial=0)) * int(np.abs(queries).max(initial=0)) * docs.shape[1] < 2**53
+    kind = np.float64 if exact else object  # products of great integers need Python's
+    q, d = queries.astype(kind), docs.astype(kind)
+    a, b = q * d.min(0), q * d.max(0)
+    up, low = np.maximum(a, b), np.minimum(a, b)
+    terms = np.argsort(-(up - low).sum(0), kind="stable")
+    q, d = q[:, terms], d[:, terms]
+    zero = np.zeros((len(q), 1), kind)
+    most = np.concatenate([np.cumsum(up[:, terms][:, ::-1], 1)[:, ::-1], zero], 1)  # what terms i.. can add at most
+    least = np.concatenate([np.cumsum(low[:, terms][:, ::-1], 1)[:, ::-1], zero], 1)
+    own = qids[:, None] == ids[None, :]
+    theta = np.full(len(q), -np.inf if exact else -(2**200), kind)
+    n_terms, spare = d.shape[1], k + int(own.sum(1).max(initial=0))
+
+    def lift(known: np.ndarray) -> None:
+        """The running k-th score from sums that are reached for certain; own rows count as passed over."""
+        if known.shape[1] >= spare:
+            np.maximum(theta, np.partition(known, known.shape[1] - spare, 1)[:, known.shape[1] - spare], out=theta)
+
+    lift(q @ d[:: max(1, len(d) // (8 * spare))].T)
+    # terms are essential until, for the median query, the rest can't reach the k-th score by themselves
+    split = int(np.clip(np.median((most[:, :-1] >= theta[:, None]).sum(1)), 1, n_terms))
+    score = q[:, :split] @ d[:, :split].T
+    if split < n_terms:
+        lift(score + least[:, split : split + 1])
+    rows, cols = np.nonzero((score + most[:, split : split + 1] >= theta[:, None]) & ~own)
+    left = score[rows, cols]
+    for at in range(split, n_terms, PROBE):
+        step = slice(at, min(at + PROBE, n_terms))
+        left = left + (q[rows, step] * d[cols, step]).sum(1)
+        stay = left + most[rows, step.stop] >= theta[rows]
+        rows, cols, left = rows[stay], cols[stay], left[stay]
+    best = np.lexsort((ids[cols], -left, rows))
+    rows, cols, left = rows[best], cols[best], left[best]
+    first = np.searchsorted(rows, rows)
+    top = np.arange(len(rows)) - first < k
+    return qids[rows[top]], ids[cols[top]], left[top].astype(np.int64)
+
+
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 20, doc_block: int = 8192, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer inner products of each query, ties to the smaller vec_id.
 
     Both sides: vec_id long, v array<long>, without nulls. Rows shorter than the longest vector take no part. A query's own id is left out. Rows that
