@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, sharding, sstable, substrings, topk
+from . import language, mixing, neardup, quality, sharding, sstable, substrings, topk
 
 QUERIES = {
     "op2_language": language.op2_language,
     "op4_mixing": mixing.op4_mixing,
+    "op5_neardup": neardup.op5_neardup,
     "op6_token_shards": sstable.op6_token_shards,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
