@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, quality, sharding, sstable, substrings, topk
+from . import language, mixing, neardup, pii, quality, sharding, sstable, substrings, topk
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_language": language.op2_language,
     "op4_mixing": mixing.op4_mixing,
     "op5_neardup": neardup.op5_neardup,
