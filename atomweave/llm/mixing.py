@@ -43,7 +43,7 @@ def fair_targets(sizes: list[int], weights: list[float], budget: float, max_epoc
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source), in addition: size, source_size, target, taken, finish.
+    """doc_id and source of each row of docs (doc_id, text, source), in addition: size, source_size, target, taken, finish.
 
     size: words of the text (null: 0). Sources in code-point order, null last, get the weights in turn; their number
     is what the driver holds. taken: size times the copies in the mix. finish: virtual finish time of the first copy.
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     targets = fair_targets([r["size"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], budget, max_epochs)
     table = [(i, r["source"], r["size"], t, max(1, math.ceil(r["n"] / BUCKET_ROWS))) for i, (r, t) in enumerate(zip(stats, targets, strict=True))]
     sources = spark.createDataFrame(table, "sid int, s string, source_size long, target double, buckets long")
-    keyed = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).select("doc_id", "size", "h", "sid", "source_size", "target", F.pmod("h", "buckets").alias("b"))
+    keyed = rows.join(sources, rows["source"].eqNullSafe(sources["s"])).select("doc_id", "source", "size", "h", "sid", "source_size", "target", F.pmod("h", "buckets").alias("b"))
     sums = keyed.groupBy("sid", "b").agg(F.sum("size").alias("w"))
     before = sums.select("sid", "b", (F.sum("w").over(Window.partitionBy("sid").orderBy("b")) - F.col("w")).alias("before"))
     in_bucket = Window.partitionBy("sid", "b").orderBy("h", "doc_id", "size")
@@ -69,17 +69,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     n_slots = max(1, math.ceil(sum(r["n"] for r in stats) / BUCKET_ROWS))
     copies = copies.withColumn("slot", F.when(F.col("finish") <= 1.0, F.floor(F.least(F.col("finish"), F.lit(1.0)) * n_slots)).otherwise(F.lit(n_slots + 1)))
     copies = copies.withColumn("w", F.when(F.col("runs"), F.col("size")).otherwise(F.lit(0))).withColumn("salt", F.when(F.col("runs"), F.lit(0)).otherwise(F.pmod("h", F.lit(n_slots)) + 1))
-    copies = written(copies.select("doc_id", "size", "sid", "source_size", "target", "b", "rn", "h", "e", "runs", "finish", "slot", "w", "salt"), "mix-queue")
+    copies = written(copies.select("doc_id", "source", "size", "sid", "source_size", "target", "b", "rn", "h", "e", "runs", "finish", "slot", "w", "salt"), "mix-queue")
     slots = copies.groupBy("slot").agg(F.sum("w").alias("sw"))
     slots = slots.select("slot", (F.sum("sw").over(Window.orderBy("slot")) - F.col("sw")).alias("ahead"))
     queue = Window.partitionBy("slot", "salt").orderBy("finish", "h", "doc_id", "sid", "b", "rn", "e")
     served = copies.withColumn("served", F.sum("w").over(queue.rowsBetween(Window.unboundedPreceding, 0))).join(slots, "slot")
     take = F.col("runs") & (F.col("served") + F.col("ahead") <= budget)
     out = served.groupBy("sid", "b", "rn").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.sum(F.when(take, F.col("size")).otherwise(F.lit(0))).alias("taken"), F.min("finish").alias("finish"),
     )
-    return out.select("doc_id", "size", "source_size", "target", "taken", "finish")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "finish")
 
 
 def op4_mixing(spark, sf_dir):

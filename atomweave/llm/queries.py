@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, pii, quality, sharding, sstable, substrings, topk
+from . import language, mixing, neardup, pieces, pii, quality, sharding, sstable, substrings, topk
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_language": language.op2_language,
+    "op3_pieces": pieces.op3_pieces,
     "op4_mixing": mixing.op4_mixing,
     "op5_neardup": neardup.op5_neardup,
     "op6_token_shards": sstable.op6_token_shards,
