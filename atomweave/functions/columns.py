@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..terms import Term
 from .text import debugged
@@ -201,14 +202,37 @@ def _bits(op: str, t: str, a: list[Column]) -> Column | None:
     return None
 
 
-def build(t: Term, column) -> tuple[Column, str] | None:
-    """(Column, type) of a formula; ``column(leaf)`` gives a leaf's text. Types: text, and the names of number types."""
+def _direct(name: str, leaf: Term, typed) -> tuple[Column, str] | None:
+    """Number from text where the leaf is a number already: the way over text is left out."""
+    kind = name.removesuffix("_from_string")
+    if typed is None or kind == name or isinstance(leaf, (tuple, bytes)):
+        return None
+    got = typed(leaf)
+    if got is None:
+        return None
+    c, dtype = got
+    whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if kind in INTS and whole:
+        low = LOW[kind]
+        return F.when(c.between(low, -low - 1), c).cast(INTS[kind]), kind
+    if kind == "f64" and (whole or isinstance(dtype, T.DoubleType)):
+        return c.cast("double"), kind
+    return None
+
+
+def build(t: Term, column, typed=None) -> tuple[Column, str] | None:
+    """(Column, type) of a formula; ``column(leaf)`` gives a leaf's text, ``typed(leaf)`` its Column and Spark type.
+
+    Types: text, and the names of number types.
+    """
     if not isinstance(t, tuple):
         return column(t), "text"
     if not t or not isinstance(t[0], bytes):
         return None
     name = t[0].decode("utf-8", "replace")
-    args = [build(x, column) for x in t[1:]]
+    if len(t) == 2 and (straight := _direct(name, t[1], typed)) is not None:
+        return straight
+    args = [build(x, column, typed) for x in t[1:]]
     if any(x is None for x in args):
         return None
     if name == "ifnz" and len(args) in (3, 5) and t[2] == b"then" and (len(args) == 3 or t[4] == b"else"):

@@ -6,32 +6,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..terms import Term
 from .scalar import debug
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _exponential(s: Column) -> Column:
+    """Java's text of a positive double with an exponent, as positional text."""
+    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
+    raw = F.regexp_replace(F.regexp_extract(s, r"^([0-9.]+)E", 1), r"\.", "")
+
+    def place(x: Column) -> Column:
+        digits, p = x["digits"], x["power"]
+        n = F.length(digits)
+        large = F.when(p + 1 >= n, F.rpad(digits, p + 1, F.lit("0"))).otherwise(F.concat(digits.substr(F.lit(1), p + 1), F.lit("."), digits.substr(p + 2, n)))
+        return F.when(p < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p - 1), digits)).otherwise(large)
+
+    trimmed = F.concat(F.left(raw, F.lit(1)), F.regexp_replace(F.substring(raw, 2, 400), "0+$", ""))
+    return let(F.struct(trimmed.alias("digits"), power.alias("power")), place)
+
+
 def display(c: Column) -> Column:
     """A double as positional text without an exponent and without a trailing .0."""
-    c = c.cast("double")
-    s = F.abs(c).cast("string")
-    digits = F.regexp_replace(F.regexp_extract(s, r"^([0-9.]+)E", 1), r"\.", "")
-    digits = F.when(F.length(digits) > 0, F.concat(F.left(digits, F.lit(1)), F.regexp_replace(F.substring(digits, 2, 400), "0+$", "")))
-    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
-    n = F.length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    large = F.when(power + 1 >= n, F.concat(digits, F.repeat(F.lit("0"), power + 1 - n))).otherwise(F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, n)))
-    plain = F.when(s.contains("E"), F.when(power < 0, small).otherwise(large)).otherwise(F.regexp_replace(s, r"\.0$", ""))
-    sign = F.when((c < 0) | (c.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(F.isnan(c), F.lit("NaN")).when(F.abs(c) == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, plain))
+
+    def show(s: Column) -> Column:
+        sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        a = F.regexp_replace(s, "^-", "")
+        return F.when(s == "NaN", s).when(a == "Infinity", F.concat(sign, F.lit("inf"))).when(s.contains("E"), F.concat(sign, _exponential(a))).otherwise(F.regexp_replace(s, r"\.0$", ""))
+
+    return let(c.cast("double").cast("string"), show)
 
 
 def debugged(c: Column) -> Column:
     """A double with at least one fractional digit, and with an exponent below 1e-4 and from 1e16."""
-    c = c.cast("double")
-    a, text = F.abs(c), display(c)
-    wide = F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.0E", "E"), "E", "e")
-    dotted = F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0")))
-    return F.when(F.isnan(c) | (a == float("inf")), text).when((c == 0) | ((a >= 1e-4) & (a < 1e16)), dotted).otherwise(wide)
+
+    def show(x: Column) -> Column:
+        a = F.abs(x)
+        dotted = let(display(x), lambda t: F.when(t.contains("."), t).otherwise(F.concat(t, F.lit(".0"))))
+        wide = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E", "e")
+        return F.when(F.isnan(x) | (a == float("inf")), display(x)).when((x == 0) | ((a >= 1e-4) & (a < 1e16)), dotted).otherwise(wide)
+
+    return let(c.cast("double"), show)
 
 
 def text_of(c: Column, kind: T.DataType, shown: str | None = None) -> Column:
@@ -73,7 +91,3 @@ def whole_of(c: Column, kind: T.DataType) -> Column:
         t = text_of(c, kind)
         n = F.when(t.rlike(r"^\+?[0-9]{1,12}$"), t).try_cast("long")
     return F.when(n.between(0, 2**32 - 1), n)
-
-
-def is_number(t: Term) -> bool:
-    return isinstance(t, bytes)

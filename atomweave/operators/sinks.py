@@ -147,15 +147,13 @@ def computed(m: Match, template: Term, slot: Term, formula: Term) -> Relation |
     at = {x: (F.col(x.column), m.shown(x)) for x in leaves(tree)}
     if slot not in variables(tree):
         return relation_of(m.df, tree, at)
-    built = columns.build(formula, m.text)
+    built = columns.build(formula, m.text, lambda x: (F.col(x.column), m.kind(x)))
     inputs = list(dict.fromkeys(leaves(formula)))
     if built is not None and built[0] is not None and built[1] == "text":
         df = m.df.withColumn("value", built[0])
     else:
         texts = [m.text(x).alias(x.column) for x in inputs]
-        rest = [c for c in m.df.columns]
         df = m.df.withColumn("value", _function(formula, inputs)(*[t for t in texts]) if texts else F.lit(_value({}, formula)))
-        del rest
     df = df.where((F.col("value").isNotNull()) & F.octet_length("value").between(1, 63))
     return relation_of(df, substitute(tree, {slot: Leaf("value")}), at | {Leaf("value"): (F.col("value"), None)})
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,14 @@ _OWN: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that the engine's arithmetic needs: wrapping integers and saturating casts instead of errors."""
+    """Settings that the engine's arithmetic needs: wrapping integers and saturating casts instead of errors.
+
+    Also lets workers on this machine import the package; on a cluster it goes along as --py-files.
+    """
     spark.conf.set("spark.sql.ansi.enabled", "false")
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return spark
 
 
