@@ -260,7 +260,8 @@ def build(t: Term, column, typed=None) -> tuple[Column, str] | None:
     if head in WIDE:
         want = [head, "u32"] if tail in ("shl", "shr") else [head] * len(cols)
         out = _bits(tail, head, cols) if kinds == want else None
-        return None if out is None else (out, "u32" if "count" in tail or "leading" in tail else head)
+        known = reduce(lambda p, q: p & q, [c.isNotNull() for c in cols], F.lit(True))
+        return None if out is None else (F.when(known, out), "u32" if "count" in tail or "leading" in tail else head)
     if head in INTS and tail == "one":
         return _int_op("one", head, []), head
     family = _int_op if last in INTS else _float_op if last in FLOATS else None
@@ -270,4 +271,7 @@ def build(t: Term, column, typed=None) -> tuple[Column, str] | None:
         out = family(lead, last, cols)
     except IndexError:
         return None
-    return None if out is None else (out, "i8" if lead in _COMPARE else last)
+    if out is None:
+        return None
+    known = reduce(lambda p, q: p & q, [c.isNotNull() for c in cols], F.lit(True))  # a dropped argument drops the row
+    return F.when(known, out), "i8" if lead in _COMPARE else last
