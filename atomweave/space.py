@@ -36,6 +36,7 @@ class Space:
     relations: dict[tuple, Relation] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
     snapshots: dict[str, list[Term]] = field(default_factory=dict)
+    regions: dict[str, Space] = field(default_factory=dict)
     timing: bool = False
     endpoints: bool = True
 
@@ -161,6 +162,35 @@ class Space:
                 return done
             done += 1
 
+    def region(self, name: str) -> Space:
+        """The named part of this space: a space of its own with the same session and functions."""
+        if name not in self.regions:
+            self.regions[name] = Space(self.spark, functions=self.functions, snapshots=self.snapshots)
+        return self.regions[name]
+
+    def run_in(self, name: str, steps: int = 10**9) -> int:
+        """Runs the rules of a region; sources cannot be named there, and a malformed rule ends the run."""
+        part, done = self.region(name), 0
+        while (rule := part._next(lambda t: True)) is not None:
+            part.facts.remove(rule)
+            part._fire(rule_of(rule, scoped_run=True))
+            if done >= steps:
+                return done
+            done += 1
+        return done
+
+    def transform(self, patterns: str | list[str], template: str) -> None:
+        """Adds the template for every match of the patterns; no rule is stored."""
+        text = " ".join([patterns] if isinstance(patterns, str) else patterns)
+        self._fire(rule_of(parse_one(f"(exec transform (, {text}) (, {template}))")))
+
+    def export(self, pattern: str, template: str, path: str) -> None:
+        """Writes the template's instances as Parquet with their order key, for any size."""
+        part = Space(self.spark)
+        for r in self.query(pattern, template):
+            part._merge(r)
+        part.lines().write.mode("overwrite").parquet(path)
+
     def _next(self, allowed: Callable[[Term], bool]) -> Term | None:
         rules = [t for (_, head), ts in self.facts.index.items() if head == b"exec" for t in ts.values() if allowed(t)]
         return min(rules, key=key, default=None)
