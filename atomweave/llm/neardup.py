@@ -253,3 +253,23 @@ def _large(large: DataFrame, full_sets: DataFrame, percent: int) -> DataFrame:
 def op5_neardup(spark, sf_dir):
     """Shingles of 4 words, 80 percent."""
     return near_duplicates(documents(spark, sf_dir), 4, 80)
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+q AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sh AS (
+  SELECT DISTINCT doc_id, hash(g) AS g FROM q WHERE g IS NOT NULL
+  UNION SELECT doc_id, hash(array_to_string(ws, ' ')) FROM t WHERE len(ws) BETWEEN 1 AND 3
+), n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS k FROM sh GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.k + y.k - c)
+), l AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS far FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.far = l.a),
+m AS (SELECT id, min(far) AS component_id FROM r GROUP BY id)
+SELECT m.id AS doc_id, coalesce(n.k, 0) AS n_shingles, component_id, m.id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.id
+"""

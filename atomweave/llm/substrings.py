@@ -202,3 +202,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text:
 def op9_substrings(spark, sf_dir):
     """Windows of 20 words, anchors of 8."""
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM t),
+s AS (SELECT doc_id, i, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM w),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(k) ORDER BY doc_id, i) AS r FROM s WHERE i <= n - 19),
+c AS (SELECT DISTINCT doc_id, p FROM r, unnest(range(i, i + 20)) AS v(p) WHERE r > 1),
+k AS (
+  SELECT w.doc_id, count(c.p) AS gone, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE c.p IS NULL), '') AS kept
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = i GROUP BY w.doc_id
+)
+SELECT t.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
