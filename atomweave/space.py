@@ -206,14 +206,17 @@ class Space:
         return [sink_kind(t) if rule.typed_sinks else ("add", (t,)) for t in rule.sinks]
 
     def _fire_small(self, rule: Rule) -> None:
-        snapshot = self.facts
-        if any(may_match(p, rule.atom) for s in rule.sources for p in stored_patterns(s, rule.typed_sources, self.functions)):
-            snapshot = Facts([*self.facts, rule.atom])  # the rule sees itself
         kinds = self._sinks(rule)
         rows: list[set] = [set() for _ in kinds]
-        for b in Matcher(snapshot, self._snapshot, self.functions).run(list(rule.sources), rule.typed_sources):
-            for (_, args), seen in zip(kinds, rows, strict=True):
-                seen.add(instantiate(args, b))
+        # the rule sees itself where it asks for rules; nothing is written before all matches are in
+        back = any(may_match(p, rule.atom) for s in rule.sources for p in stored_patterns(s, rule.typed_sources, self.functions)) and self.facts.add(rule.atom)
+        try:
+            for b in Matcher(self.facts, self._snapshot, self.functions).run(list(rule.sources), rule.typed_sources):
+                for (_, args), seen in zip(kinds, rows, strict=True):
+                    seen.add(instantiate(args, b))
+        finally:
+            if back:
+                self.facts.remove(rule.atom)
         added: list[Term] = []
         for (kind, args), seen in zip(kinds, rows, strict=True):
             if kind == "add":
