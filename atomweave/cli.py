@@ -50,7 +50,7 @@ def main(args: list[str] | None = None) -> int:
             print("\n".join(s.dump()))
     else:
         for name in (a.source, a.target):
-            if Path(name).suffix not in (".sexp", ".mm2", ".metta", ".txt"):
+            if Path(name).suffix not in (".sexp", ".txt"):
                 p.error(f"{name}: only s-expressions are converted")
         Path(a.target).write_text(convert(Path(a.source).read_text(), a.pattern, a.template) + "\n")
     return 0
