@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = written(reps.dropDuplicates(["id", "n", "regs"]), "reps")
     rows = reps.select("id", "regs").mapInArrow(_band_rows, "id long, key long")
     buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("tail")).where("lead < tail")
+    buckets = written(buckets, "buckets")  # as a table of known size it is sent to all or, if large, lets a hot bucket be split
     members = written(rows.join(buckets, "key").select("key", "id", "size", "lead"), "members")
     ids = members.select("id").distinct()
     chosen = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # what the leads have not joined
     named = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    mixed = written(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
     apart = written(named.join(mixed, "key"), "apart")
     small, large = apart.where(F.col("size") <= SMALL_BUCKET), apart.where(F.col("size") > SMALL_BUCKET)
     left = small.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
