@@ -160,7 +160,8 @@ def masked(docs: DataFrame) -> DataFrame:
 
     whole = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
     out = F.when(F.size("pii_spans") > 0, whole).otherwise(F.col("text"))
-    return personal_data(docs).withColumn("text", out).select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("pii_row"))  # no name can clash
+    return personal_data(packed).select(*[out.alias("text") if c == "text" else F.col("pii_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from atomweave.llm import language, mixing, neardup, pieces, pii, quality, sharding, sstable, substrings
 
@@ -359,6 +360,8 @@ def test_patterns_find_unseen_identifiers(spark):
     masked = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
     assert masked[0] == "for help reach me at <EMAIL> today" and masked[6] == masked[0] and masked[7] == texts[7]
     assert pii.masked(df).columns == df.columns
+    clash = pii.masked(df.withColumn("pii_base", F.lit(7)).withColumn("pii_spans", F.lit("s")).where("doc_id = 0")).first()
+    assert (clash["pii_base"], clash["pii_spans"], clash["text"]) == (7, "s", masked[0])
 
 
 # ---------------------------------------------------------------------------------------------- empty tables
