@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies"))
     taken = written(mixed.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size", "copies")]), "taken")
     keys = docs["doc_id"].eqNullSafe(taken["mix_doc_id"]) & docs["source"].eqNullSafe(taken["mix_source"]) & (mixing.n_words(docs["text"]) == taken["mix_size"])
-    copies = docs.join(taken, keys).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["mix_copies"])).alias("mix_copy"))
-    return copies.select(*[F.col(c) for c in copies.columns[:-1]])
+    copies = docs.join(taken, keys).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["mix_copies"])).alias(copy := "copy_" + "_".join(docs.columns)))
+    return copies.drop(copy)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
