@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text:
     twice = ids.groupBy("d", "e").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
     copies = ids.join(twice, ["d", "e"]).where("row > first").groupBy("row").agg(F.collect_set("d").alias("copies"))
     anchors = written(docs.select("row", "text").mapInArrow(_anchors(length, k), "anchor long, row long, at int"), "rep-anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "rep-often")  # as a table, it lets a hot anchor be split
     seeds = anchors.join(often, "anchor", "left_semi").groupBy("row").agg(F.collect_list("at").alias("seeds"))
     told = written(seeds.join(copies, "row", "full"), "rep-seeds")
     forget(anchors)
