@@ -381,17 +381,31 @@ def pure_control(spark, sf):
 # ---------------------------------------------------------------------------------------------- graphs
 
 
-def _trade(spark, sf, below: int) -> DataFrame:
-    """Supplier and customer nations of the large orders: a graph of nations."""
+def _trade(spark, sf, below: int | None = None) -> DataFrame:
+    """Supplier and customer nations of all order lines, or of the large orders alone: a graph of nations."""
     li, o = _table(spark, sf, "lineitem"), _table(spark, sf, "orders")
     s, c = _table(spark, sf, "supplier"), _table(spark, sf, "customer")
-    e = li.where(f"l_suppkey % 10 = 0 AND l_linenumber = 1 AND l_quantity > {below}").join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    if below is not None:
+        li = li.where(f"l_suppkey % 10 = 0 AND l_linenumber = 1 AND l_quantity > {below}")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(c, o["o_custkey"] == c["c_custkey"])
     return e.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
 
 
 _TRADE = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_suppkey % 10 = 0 AND l_linenumber = 1 AND l_quantity > {}"
 
 
+def _reached(e: DataFrame) -> DataFrame:
+    return graph.reachable(e, e.agg(F.min("src").alias("node")).where("node IS NOT NULL")).select("node")
+
+
+def _far(e: DataFrame) -> DataFrame:
+    s = Space(e.sparkSession)
+    s.add_table(e, "e")
+    s.add("(exec 0 (, (e $a $b) (e $b $c) (e $c $d)) (, (far $a $d)))")
+    s.run()
+    return s.table("far", 2, ["src", "dst"])
+
+
 @query(f"WITH RECURSIVE e AS ({_TRADE.format(45)}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src, dst FROM r")
 def closure(spark, sf):
     return graph.closure(_trade(spark, sf, 45))
@@ -399,8 +413,7 @@ def closure(spark, sf):
 
 @query(f"WITH RECURSIVE e AS ({_TRADE.format(45)}), r AS (SELECT (SELECT min(src) FROM e) AS node UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT DISTINCT node FROM r WHERE node IS NOT NULL")
 def reachability(spark, sf):
-    e = _trade(spark, sf, 45)
-    return graph.reachable(e, e.agg(F.min("src").alias("node")).where("node IS NOT NULL")).select("node")
+    return _reached(_trade(spark, sf, 45))
 
 
 @query(f"WITH e AS ({_TRADE.format(48)}) SELECT DISTINCT a.src AS src, c.dst AS dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src")
@@ -411,11 +424,7 @@ def endpoint_chain(spark, sf):
 @query(f"WITH e AS ({_TRADE.format(48)}) SELECT DISTINCT a.src AS src, c.dst AS dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src")
 def chain_rule(spark, sf):
     """The same chain as one rule; endpoints are made distinct at every hop by the compiler."""
-    s = Space(spark)
-    s.add_table(_trade(spark, sf, 48), "e")
-    s.add("(exec 0 (, (e $a $b) (e $b $c) (e $c $d)) (, (far $a $d)))")
-    s.run()
-    return s.table("far", 2, ["src", "dst"])
+    return _far(_trade(spark, sf, 48))
 
 
 @query(f"WITH t AS ({_TRADE.format(40)}), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE src <> dst) SELECT x.a AS c1, x.b AS c2, y.b AS c3 FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
@@ -428,6 +437,19 @@ def clique4(spark, sf):
     return graph.cliques(_trade(spark, sf, 40), 4)
 
 
+# The same six over all suppliers, lines and quantities.
+for _name, _below, _run in [
+    ("closure", 45, graph.closure),
+    ("reachability", 45, _reached),
+    ("endpoint_chain", 48, lambda e: graph.k_hop(e, 3)),
+    ("chain_rule", 48, _far),
+    ("clique3", 40, lambda e: graph.cliques(e, 3)),
+    ("clique4", 40, lambda e: graph.cliques(e, 4)),
+]:
+    QUERIES[f"{_name}_whole"] = lambda spark, sf, run=_run: run(_trade(spark, sf))
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_TRADE.format(_below), _TRADE.partition(" WHERE ")[0])
+
+
 # ---------------------------------------------------------------------------------------------- path algebra
 
 

@@ -42,6 +42,30 @@ def test_graphs(spark, pairs):
     assert rows(f) == [(1, 0), (2, 1)]
 
 
+def test_graph_queries_over_whole_tables(spark, tmp_path):
+    from atomweave import catalog
+
+    rng = random.Random(5)
+    supplier, customer = [(k, rng.randint(0, 7)) for k in range(1, 16)], [(k, rng.randint(0, 7)) for k in range(1, 16)]
+    orders = [(k, rng.randint(1, 15)) for k in range(1, 13)]
+    lineitem = [(o, n, rng.randint(1, 15), float(rng.randint(1, 50))) for o, _ in orders for n in (1, 2)]
+    tables = {"supplier": (supplier, "s_suppkey long, s_nationkey long"), "customer": (customer, "c_custkey long, c_nationkey long"), "orders": (orders, "o_orderkey long, o_custkey long"), "lineitem": (lineitem, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = {(dict(supplier)[s], dict(customer)[dict(orders)[o]]) for o, _, s, _ in lineitem}
+    got = {q: rows(catalog.QUERIES[f"{q}_whole"](spark, str(tmp_path))) for q in ("closure", "reachability", "endpoint_chain", "chain_rule", "clique3", "clique4")}
+    step = lambda pairs: {(a, d) for a, b in pairs for c, d in edges if b == c}
+    reach = set(edges)
+    while step(reach) - reach:
+        reach |= step(reach)
+    first = min(a for a, _ in edges)
+    far, und = sorted(step(step(edges))), {tuple(sorted(p)) for p in edges if p[0] != p[1]}
+    assert got["closure"] == sorted(reach) and got["reachability"] == sorted({(first,), *[(d,) for a, d in reach if a == first]})
+    assert got["endpoint_chain"] == far and sorted((int(a), int(b)) for a, b in got["chain_rule"]) == far
+    for k in (3, 4):
+        assert got[f"clique{k}"] == [c for c in itertools.combinations(range(8), k) if all(p in und for p in itertools.combinations(c, 2))]
+
+
 def test_path_algebra(spark):
     p = [A.path("a", "x"), A.path("a", "y"), A.path("b", "x"), A.path("c")]
     a, b = A.path_set(spark, p[:3]), A.path_set(spark, p[1:])
