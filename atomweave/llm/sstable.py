@@ -188,7 +188,8 @@ class WordEncoder:
     """
 
     CAP = 400_000
-    PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u012f\u0132-\u024f]+")
+    # without the capitals whose small letter lies above U+024F, which level doesn't cover
+    PLAIN = re.compile(f"[{''.join(re.escape(c) for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x132, 0x250))) if ord(c.lower()) < 0x250)}]+")
 
     def __init__(self, path: str) -> None:
         import regex

@@ -267,6 +267,16 @@ def test_token_shards(spark, docs, tmp_path):
     assert found[999_999] == [] and (found[docs[0][0]][0] == ids_of[docs[0][0]]).all()
 
 
+def test_plain_words_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), sstable.WordEncoder(path)
+    words = [w for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x250))) for w in (c, f"a{c}b", f"A{c}{c}9")]
+    wrong = [w for w in words if e(w) != np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(words) > 1500 and not wrong
+
+
 def test_table_blocks_and_damage(tmp_path):
     import pyarrow.fs as pafs
 
