@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,7 +204,7 @@ class Machine:
                 found = [unwrap(wrap(df, k), lead) for k, df in self.spaces.items() if k.startswith(lead) or lead.startswith(k)]
                 if not found:
                     raise MachineError("value_not_memoed")
-                s[target] = found[0] if len(found) == 1 else union(found[0], found[1])
+                s[target] = reduce(union, found)
             elif op is Op.CALL:
                 s[target], fuel = self._call(x[0], p[x[1]], fuel)
             elif op is Op.ITERATE:

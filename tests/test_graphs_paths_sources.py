@@ -86,6 +86,12 @@ def test_path_algebra(spark):
     assert A.covering([A.path("a", "b"), A.path("a")]) == [A.path("a"), A.path("a")]
 
 
+def test_extract_space_takes_all_spaces_below_a_prefix(spark):
+    spaces = {A.path("p", k): A.path_set(spark, [A.path(k), A.path("x")]) for k in "abc"} | {A.path("q"): A.path_set(spark, [A.path("y")])}
+    m = A.Machine(spark, routines={"r": [(A.Op.CONSTANT, "p1", A.path("p")), (A.Op.EXTRACT_SPACE, "s0", "p1"), (A.Op.EXIT, "")]}, spaces=spaces)
+    assert sorted(bytes(r["path"]) for r in m.run("r").collect()) == sorted(A.path(k, v) for k in "abc" for v in (k, "x"))
+
+
 def test_json():
     text = '{"a": 1.5, "b": [true, {"c": null}], "d": {}, "e": [], "f": -12e3, "g": "s"}'
     from atomweave.terms import render
