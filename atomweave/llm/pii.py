@@ -29,6 +29,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: A token with a digit or an at sign: what an unseen identifier can look like.
 TOKEN = r"(?<![^\s\"'(<\[=:])(?=[^\s\"'<>\[\]]*(?:[0-9@]|\(at\)))[A-Za-z0-9+(][^\s\"'<>\[\],;]{2,62}[A-Za-z0-9](?![A-Za-z0-9@])"
+#: Where a value can begin inside a word: the character before it and its first one.
+GLUE = r"[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]|[^0-9][0-9]|.\+|[\"'(<\[=:]\("
 SPAN = "array<struct<k:int,s:int,e:int,v:string,left:string>>"
 LEAST_SUPPORT, LEAST_PATTERN, LEAST_INSTANCE, ROUNDS = 3, 0.5, 0.5, 3
 
@@ -101,6 +103,16 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("pii_other", F.transform(apart, lambda o: o.withField("k", _shape(o["v"]))))
 
 
+def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """ctx, t: places in all of docs where the two words of ctx stand, as whole words or with a value glued to the second."""
+    words = docs.select(F.split(F.lower("text"), r"\s+").alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("x")).select("x.a", "x.b")
+    parted = contexts.select("ctx", F.substring_index("ctx", " ", 1).alias("a"), F.substring_index("ctx", " ", -1).alias("lead"))
+    glued = F.substring(F.col("b"), F.length("lead"), F.lit(2)).rlike(GLUE)
+    here = (pairs["a"] == parted["a"]) & pairs["b"].startswith(parted["lead"]) & ((F.col("b") == F.col("lead")) | glued)
+    return pairs.join(parted, here).groupBy("ctx").agg(F.count("*").alias("t"))
+
+
 def bootstrap(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), k, s, e of each unseen identifier in docs (doc_id, text), written to the shared folder."""
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -109,13 +121,12 @@ def bootstrap(docs: DataFrame) -> DataFrame:
     mark = lambda c, seed: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), x["left"].alias("left"), F.lit(seed).alias("seed")))
     each = lean.select("doc_id", "h", F.explode(F.concat(mark(F.col("pii_base"), True), mark(F.col("pii_other"), False))).alias("o"))
     seen = written(each.select("doc_id", "h", "o.k", "o.s", "o.e", "o.v", _context(F.col("o.left")).alias("ctx"), "o.seed").where("ctx <> ''"), "pii-seen")
-    edges = seen.groupBy("k", "ctx", "v").agg(F.count("*").alias("c"), F.max("seed").alias("seed"))
+    edges = seen.groupBy("k", "ctx", "v").agg(F.count("*").alias("c"), F.max("seed").alias("seed"), F.min("seed").alias("closed"))
     # only contexts that several seeds share, or that hold a look-alike beside one, can matter
-    wide = edges.groupBy("k", "ctx").agg(F.count("*").alias("n"), F.sum("c").alias("c")).where(F.col("n") >= LEAST_SUPPORT)
+    wide = edges.groupBy("k", "ctx").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("closed").alias("closed")).where(F.col("n") >= LEAST_SUPPORT)
     wide = written(wide, "pii-patterns")
-    words = docs.where(F.coalesce("text", F.lit("")).rlike(r"[0-9@]|\(at\)")).select(F.split(F.lower("text"), r"\s+").alias("w"))
-    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("x")).select(F.concat_ws(" ", "x.a", "x.b").alias("ctx"))
-    totals = pairs.join(wide.select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx").agg(F.count("*").alias("t"))
+    # where seeds alone stand there is nothing to find, so the share plays no part
+    totals = _occurrences(docs, wide.where("NOT closed").select("ctx").distinct())
     patterns = written(wide.join(totals, "ctx", "left").select("k", "ctx", F.greatest("c", F.coalesce("t", F.lit(0))).alias("total")), "pii-totals")
     graph = written(edges.join(patterns, ["k", "ctx"]).select("k", "ctx", "v", "c", "seed", "total"), "pii-graph")
     score = graph.groupBy("k", "v").agg(F.max(F.col("seed").cast("double")).alias("r"))

@@ -374,6 +374,17 @@ def test_patterns_find_unseen_identifiers(spark):
     assert (clash["pii_base"], clash["pii_spans"], clash["text"]) == (7, "s", masked[0])
 
 
+def test_pattern_occurrences_are_counted_in_all_documents(spark):
+    seeds = [f"{lead}user{i}@host{i}.com today" for i in range(6) for lead in ("please write to ", 'his mail:"', 'her mail:"')]
+    empty = ["we write to them and others write to us"] * 12 + ['her mail:"none of it'] * 12
+    texts = [*seeds, "please write to carl@localhost today", 'his mail:"dora@localhost today', 'her mail:"evan@localhost today', *empty]
+    rows = pii.personal_data(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).select("doc_id", "pii_base", "pii_spans").collect()
+    assert {texts[r["doc_id"]] for r in rows if len(r["pii_spans"]) > len(r["pii_base"])} == {'his mail:"dora@localhost today'}
+    contexts = spark.createDataFrame([("write to",), ('his mail:"',), ('her mail:"',)], "ctx string")
+    got = {r["ctx"]: r["t"] for r in pii._occurrences(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), contexts).collect()}
+    assert got == {"write to": 6 + 1 + 24, 'his mail:"': 7, 'her mail:"': 7 + 12}
+
+
 # ---------------------------------------------------------------------------------------------- empty tables
 
 
