@@ -28,7 +28,11 @@ PATTERNS = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: A token with a digit or an at sign: what an unseen identifier can look like.
-TOKEN = r"(?<![^\s\"'(<\[=:])(?=[^\s\"'<>\[\]]*(?:[0-9@]|\(at\)))[A-Za-z0-9+(][^\s\"'<>\[\],;]{2,62}[A-Za-z0-9](?![A-Za-z0-9@])"
+TOKEN = r"(?<![^\s\"'(<\[=:])(?=[^\s\"'<>\[\]]*(?:[0-9@]|\(at\)))[A-Za-z0-9+(][^\s\"'<>\[\],;]{2,}[A-Za-z0-9](?![A-Za-z0-9@])"
+#: Groups of digits with single blanks between some: what an unseen card or phone number can also look like.
+RUN = r"(?<![^\s\"'(<\[=:])[+(]?+[0-9]++(?![A-Za-z@])(?:[().-]*+\x20?+[().-]*+[0-9]++(?![A-Za-z@]))++"
+#: Code points before a span that are searched for the two words.
+REACH = 1000
 #: Where a value can begin inside a word: the character before it and its first one.
 GLUE = r"[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]|[^0-9][0-9]|.\+|[\"'(<\[=:]\("
 SPAN = "array<struct<k:int,s:int,e:int,v:string,left:string>>"
@@ -67,16 +71,19 @@ def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
     def step(acc, x):
         start = acc["pos"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.array(F.struct(F.lit(kind).alias("k"), start.alias("s"), end.alias("e"), x["m"].alias("v"), F.right(x["p"], F.lit(80)).alias("left"))).cast(SPAN)
+        left = F.right(F.concat(acc["tail"], x["p"]), F.lit(REACH))
+        left = F.when(start > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)  # no part of a word
+        span = F.array(F.struct(F.lit(kind).alias("k"), start.alias("s"), end.alias("e"), x["m"].alias("v"), left.alias("left"))).cast(SPAN)
         out = F.when(x["m"].isNotNull() & F.coalesce(passes(x["m"]), F.lit(False)), F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), out.alias("out"))
+        tail = F.right(F.concat(acc["tail"], x["p"], F.coalesce(x["m"], F.lit(""))), F.lit(REACH))
+        return F.struct(end.alias("pos"), tail.alias("tail"), out.alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
 
 def _context(left: Column) -> Column:
     """The two words before, lower-cased; empty if there are fewer."""
-    return F.trim(F.regexp_replace(F.regexp_extract(F.lower(left), r"(\S+\s+\S+\s*)$", 1), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_extract(F.lower(left), r"(?<!\S)(\S++\s++\S++\s*+)$", 1), r"\s+", " "))
 
 
 def _shape(v: Column) -> Column:
@@ -85,8 +92,8 @@ def _shape(v: Column) -> Column:
     return (
         F.when(v.contains("@") | v.contains("(at)"), F.lit(0))
         .when(v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), F.lit(1))
-        .when(v.rlike(r"^[0-9-]+$") & (digits >= 13), F.lit(2))
-        .when(v.rlike(r"^[+(]?[0-9().-]+$") & digits.between(7, 12), F.lit(3))
+        .when(v.rlike(r"^[0-9 -]+$") & (digits >= 13), F.lit(2))
+        .when(v.rlike(r"^[+(]?[0-9(). -]+$") & digits.between(7, 12), F.lit(3))
     )
 
 
@@ -98,7 +105,8 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = [F.when(need[k], _spans(t, PATTERNS[k], i, lambda m, k=k: _passes(k, m))).otherwise(none) for i, k in enumerate(KINDS)]
     found = docs.withColumn("pii_base", F.concat(*parts))
     base = F.col("pii_base")
-    other = F.when(t.rlike(r"[0-9@]|\(at\)"), _spans(t, TOKEN, 0, lambda m: _shape(m).isNotNull())).otherwise(none)
+    blank = F.when(t.rlike(r"[0-9][().-]*\x20[().-]*[0-9]"), _spans(t, RUN, 0, lambda m: m.contains(" ") & _shape(m).isNotNull())).otherwise(none)
+    other = F.concat(F.when(t.rlike(r"[0-9@]|\(at\)"), _spans(t, TOKEN, 0, lambda m: _shape(m).isNotNull())).otherwise(none), blank)
     apart = F.filter(other, lambda o: ~F.exists(base, lambda b: (b["s"] < o["e"]) & (o["s"] < b["e"])))
     return found.withColumn("pii_other", F.transform(apart, lambda o: o.withField("k", _shape(o["v"]))))
 
@@ -155,7 +163,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     based = with_base(docs).drop("pii_other").withColumn("pii_base", lean(F.col("pii_base")))
     found = found.select(F.col("doc_id").alias("pii_id"), F.col("h").alias("pii_h"), "pii_new")
     joined = based.join(found, based["doc_id"].eqNullSafe(found["pii_id"]) & (F.xxhash64(F.coalesce(based["text"], F.lit(""))) == found["pii_h"]), "left")
-    new = F.coalesce("pii_new", F.array().cast("array<struct<k:int,s:int,e:int>>"))
+    # of found values within each other the longest stays
+    inside = lambda x: F.exists("pii_new", lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"]))
+    new = F.coalesce(F.filter("pii_new", lambda x: ~inside(x)), F.array().cast("array<struct<k:int,s:int,e:int>>"))
     return joined.withColumn("pii_spans", F.array_sort(F.concat("pii_base", new))).drop("pii_id", "pii_h", "pii_new")
 
 

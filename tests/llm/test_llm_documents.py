@@ -385,6 +385,18 @@ def test_pattern_occurrences_are_counted_in_all_documents(spark):
     assert got == {"write to": 6 + 1 + 24, 'his mail:"': 7, 'her mail:"': 7 + 12}
 
 
+def test_contexts_come_from_the_whole_text(spark):
+    long = "9" * 90
+    texts = [f"room 7 ext +1 017 555 {1000 + i} ok" for i in range(6)] + [f"a card {4111111111111111 if i else 5500005555555559} ok" for i in range(2)]
+    texts += ["room 7 ext 555-0199 ok", "room 7 ext 555 0199 ok", "room 7 ext (017) 555-01 ok", f"see {'x' * 100} 7 ext 555-0199"]
+    texts += [f"my card {c} ok" for c in (4111111111111111, 5500005555555559, 4012888888881881)] + [f"my card {long} ok", "my card 4111 1111 1111 1112 ok"]
+    rows = pii.personal_data(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).select("doc_id", "pii_base", "pii_spans").collect()
+    new = {texts[r["doc_id"]][x["s"] : x["e"]] for r in rows for x in r["pii_spans"] if x not in r["pii_base"]}
+    assert new == {"555-0199", "555 0199", "(017) 555-01", long, "4111 1111 1111 1112"}
+    lefts = {r["x"]["v"]: r["c"] for r in pii.with_base(frame(spark, [(0, "at home a(at)x.com, b(at)y.com; call 2024 ext 555-0199", None)])).select(F.explode("pii_other").alias("x")).select("x", pii._context(F.col("x.left")).alias("c")).collect()}
+    assert lefts == {"a(at)x.com": "at home", "b(at)y.com": "home a(at)x.com,", "555-0199": "2024 ext"}
+
+
 # ---------------------------------------------------------------------------------------------- empty tables
 
 
