@@ -1,28 +1,37 @@
-"""Shared folders, written intermediate tables and word patterns."""
+"""Shared folders, written intermediate tables, batches and word patterns."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
+_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where none is set, a folder of our own, on a local master only: on a cluster executors would write to their own disks.
+    """
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="atomweave-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 
@@ -30,41 +39,81 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/atomweave/{tag}-{uuid.uuid4().hex}"
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of a query when it has ended."""
-    for kind in ("", "classic."):
-        spark.conf.set(f"spark.sql.{kind}shuffleDependency.fileCleanup.enabled", "true")
+@contextmanager
+def _own_shuffles_only(spark: SparkSession) -> Iterator[None]:
+    """Lets the write inside delete its shuffle files when it has ended; the session's settings are as before afterwards.
+
+    Only writes may run inside: what is read lazily would lose its files.
+    """
+    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    try:
+        for k in _CLEANUP:
+            spark.conf.set(k, "true")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, has a known size."""
-    tidy(df.sparkSession)
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    with _own_shuffles_only(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts still fits a Python worker.
 
-    Also lets workers on this machine import the package; on a cluster it goes along as --py-files.
-    """
+def importable(spark: SparkSession) -> None:
+    """Lets workers on this machine import the package; on a cluster it goes along as --py-files."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/atomweave/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (bounded in bytes by Spark) in parts of few rows, so that what is made of each stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/atomweave/" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Keys with more than 1 / HEAVY of all rows number fewer than HEAVY, so a table of them has a proven bound.
+HEAVY = 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left.join(right, on, how), ``how`` being inner or left, where few keys may hold most of the rows of left.
+
+    right has one row a key; its column ``weight`` counts the key's rows in left, and ``total`` those of left. The rows
+    of heavy keys stay where they are and right's fewer than HEAVY rows for them go to all; the rest is shuffled, in
+    which no key has more than 1 / HEAVY of all rows.
+    """
+    heavy = F.col(weight) * HEAVY > total
+    hot = right.where(heavy)
+    cols = [*left.columns, *[c for c in right.columns if c not in on]]
+    near = left.join(F.broadcast(hot), on).select(*cols)
+    far = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(~heavy), on, how).select(*cols)
+    return near.unionByName(far)
+
+
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """docs, if doc_id is an integer column: what orders documents or names components needs that."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+    return docs
 
 
 def n_words(text: Column) -> Column:

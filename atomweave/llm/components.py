@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, written
+from ._common import forget, spread_join, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id that can be reached) for every id in links (a, b); each round is written to the shared folder.
 
-    Links and labels stay distributed; the driver sees one count a round. Each round takes the least label of the
-    neighbours and then the label's own label, so long chains halve.
+    Links and labels stay distributed; the driver sees counts. Each round takes the least label of the neighbours and
+    then the label's own label, so long chains halve. The many rows of a hub or of a large component's root are not
+    shuffled to one task.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    n_both = both.count()
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    labels = written(labels.select("id", F.least("id", "m").alias("component"), "degree"), "labels")
+    n_ids = labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        far = spread_join(both.withColumnRenamed("b", "id"), labels, ["id"], "degree", n_both)
+        near = far.groupBy("a").agg(F.min("component").alias("m"))
+        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "m").alias("c"), F.col("component").alias("old"), "degree")
         step = written(step, "labels-step")
-        jump = step.select(F.col("id").alias("root"), F.col("c").alias("next"))
-        moved = written(step.join(jump, F.col("c") == F.col("root")).select("id", F.least("c", "next").alias("component"), "old"), "labels")
+        roots = step.groupBy("c").agg(F.count("*").alias("n"))
+        jump = roots.join(step.select(F.col("id").alias("c"), F.col("c").alias("next")), "c")
+        moved = spread_join(step, jump, ["c"], "n", n_ids).select("id", F.least("c", "next").alias("component"), "old", "degree")
+        moved = written(moved, "labels")
         changed = moved.where(F.col("component") != F.col("old")).limit(1).count()
-        forget(step)
-        forget(labels)
-        labels = moved
+        forget(step, labels)
+        labels = moved.select("id", "component", "degree")
         if not changed:
+            forget(both)
             return labels.select("id", "component")

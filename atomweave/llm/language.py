@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import documents, small_batches
+from ._common import documents, importable, slices
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -92,7 +92,7 @@ def held_out(doc_id) -> F.Column:
 
 def learn(docs: DataFrame, size: int = PROFILE) -> Model:
     """Profiles from all rows of docs (text, lang) with a language, whole texts; the driver gets size n-grams a language."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -104,7 +104,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Model:
             u, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return u, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
 
-        for b in batches:
+        for b in slices(batches):
             texts: dict[str, list[str]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(text or "")
@@ -135,10 +135,10 @@ def _counts(lang: str, u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score, one row for each; null and letterless texts are `und`."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -147,11 +147,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     """docs without the rows whose text has no language or scores below ``least``; all columns stay as they are."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [model.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, forget, small_batches, written
+from ._common import documents, forget, importable, integer_ids, slices, spread_join, written
 from .components import components
 from .substrings import Hashes, windows
 
@@ -87,7 +87,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(4)]
             for text in b.column(1).to_pylist():
                 s = shingles(text, width)
@@ -100,7 +100,7 @@ def _sets(width: int):
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         if b.num_rows:
             regs = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, -1)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
@@ -109,7 +109,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 ra, rb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (2, 3))
                 na, nb = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (4, 5))
@@ -120,7 +120,7 @@ def _likely(least: float):
 
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -134,7 +134,7 @@ def _confirmed(percent: int):
 
 def _set_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "s"])
 
     return run
@@ -180,22 +180,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Documents are linked if 100 * common shingles >= percent * shingles of the union. component_id is the smallest
-    doc_id that can be reached, kept is doc_id = component_id. Texts without words are linked with nothing. Rows with a
-    null doc_id are linked with nothing, have a null component_id and are kept. Rows that share a doc_id are one
-    document and have one component.
+    doc_id that can be reached, kept is doc_id = component_id. Null, empty and blank texts are linked with nothing, very
+    long ones are taken whole. Rows with a null doc_id are linked with nothing, have a null component_id and are kept.
+    Texts that share a doc_id are linked with one another, so all of them have one component; rows that repeat both are
+    alike. doc_id must be an integer.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    importable(spark)
+    docs = integer_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(docs.mapInArrow(_sets(width), "doc_id long, n long, f1 long, f2 long, regs binary"), "sets")
+    n_sets = sets.count()
     full = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes, ["f1", "f2"]).where("doc_id = rep").select(F.col("rep").alias("id"), "n", "regs")
+    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # the id is a key as well, so the copies of a class don't meet
+    of_rep = (full["f1"] == classes["f1"]) & (full["f2"] == classes["f2"]) & (full["doc_id"] == classes["rep"])
+    reps = full.join(classes, of_rep).select(F.col("rep").alias("id"), "n", "regs")
     reps = written(reps.dropDuplicates(["id", "n", "regs"]), "reps")
     rows = reps.select("id", "regs").mapInArrow(_band_rows, "id long, key long")
+    n_rows = reps.count() * BANDS
     buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("tail")).where("lead < tail")
-    buckets = written(buckets, "buckets")  # as a table of known size it is sent to all or, if large, lets a hot bucket be split
-    members = written(rows.join(buckets, "key").select("key", "id", "size", "lead"), "members")
+    buckets = written(buckets.drop("tail"), "buckets")
+    members = written(spread_join(rows, buckets, ["key"], "size", n_rows), "members")
     ids = members.select("id").distinct()
     chosen = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
     full_sets = written(chosen.mapInArrow(_set_bytes(width), "id long, s binary").dropDuplicates(), "full-sets")
@@ -205,41 +210,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         for side in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}")), side)
         likely = written(pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long"), "likely")
+        out = likely
         for side in ("a", "b"):
-            likely = likely.join(full_sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")), side)
-        return written(likely.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
-
+            out = out.join(full_sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")), side)
+        out = written(out.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+        forget(likely)
+        return out
+
+    # a doc_id with several texts is in several classes
+    several = full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("doc_id")
+    same = full.join(several, "doc_id", "left_semi").select("doc_id", "f1", "f2").distinct().join(classes, ["f1", "f2"]).where("doc_id <> rep")
     tried = written(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    links = confirm(tried)
+    links = confirm(tried).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    links = written(links, "links")
     labels = components(links)
 
     # what the leads have not joined
-    named = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
-    mixed = written(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
-    apart = written(named.join(mixed, "key"), "apart")
+    named = written(members.join(labels, "id", "left").select("key", "id", "size", "lead", F.coalesce("component", "id").alias("label")), "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    apart = written(spread_join(named, written(mixed, "mixed"), ["key"], "n", n_rows), "apart")
     small, large = apart.where(F.col("size") <= SMALL_BUCKET), apart.where(F.col("size") > SMALL_BUCKET)
     left = small.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
     right = small.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
     pairs = left.join(right, "key").where("a < b AND la <> lb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(confirm(written(pairs, "pairs")))
+    pairs = written(pairs, "pairs")
+    links = links.unionByName(confirm(pairs))
     if not large.isEmpty():
         links = links.unionByName(_large(large, full_sets, percent))
     final = components(links)
-    named_classes = classes.join(final, classes["rep"] == final["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("class"))
-    out = sets.join(named_classes, ["f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    forget(members)
+    known = classes.join(final, classes["rep"] == final["id"], "left").select("f1", "f2", "copies", "rep", F.coalesce("component", "rep").alias("class"))
+    told = written(known.where("copies > 1 OR class <> rep").drop("rep"), "told")  # any other row is its own component
+    forget(members, named, apart, full_sets, reps, buckets, tried, pairs, classes)
+    out = spread_join(sets.select("doc_id", "n", "f1", "f2"), told, ["f1", "f2"], "copies", n_sets, "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _large(large: DataFrame, full_sets: DataFrame, percent: int) -> DataFrame:
     """Links that span the different components of large buckets: overlapping buckets are one group, compared block by block."""
-    stars = large.groupBy("key").agg(F.min("id").alias("a"))
-    groups = components(large.join(stars, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    of = large.select("id", "label").distinct().join(groups, "id").select("id", "label", F.col("component").alias("g"))
+    groups = components(large.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    of = written(large.select("id", "label").distinct().join(groups, "id").select("id", "label", F.col("component").alias("g")), "grouped")
     counts = of.groupBy("g").agg(F.count("*").alias("size"))
-    dealt = of.join(counts, "g").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = spread_join(of, written(counts, "sizes"), ["g"], "size", of.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = written(dealt.select("id", "label", "g", "k", "blocks"), "dealt")
     meet = dealt.join(full_sets, "id").select("id", "label", "s", "g", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     meet = meet.select("id", "label", "s", "g", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
@@ -248,7 +260,9 @@ def _large(large: DataFrame, full_sets: DataFrame, percent: int) -> DataFrame:
         found = spanning(t.column("id").to_numpy(), t.column("label").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return written(meet.groupBy("g", "i", "j").applyInArrow(run, "a long, b long"), "links")
+    out = written(meet.groupBy("g", "i", "j").applyInArrow(run, "a long, b long"), "links")
+    forget(of, dealt)
+    return out
 
 
 def op5_neardup(spark, sf_dir):

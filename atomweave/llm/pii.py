@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Regular expressions give the base spans: e-mail addresses, IP addresses, card and phone numbers. They are the seeds.
-The two words before a seed are a lexical pattern of its kind. Pattern-instance edges are counted over the whole
-corpus, and patterns and instances score each other in turn: a pattern by the share of its occurrences that reliable
-instances fill, an instance by the patterns it is found with, seeds being certain. Values that look like an identifier
-of a kind but fail its base rule are found where a confident pattern of that kind stands before them.
+Regular expressions give the base spans: e-mail addresses, IP addresses, card and phone numbers. They are the seeds;
+long hexadecimal values are seeds of one more kind, secrets, which has no base rule. The words around a seed are lexical
+patterns of its kind: the two words before it, the one word before it, and the words before and after it. Pattern-instance
+edges are counted over the whole corpus, and patterns and instances score each other in turn: a pattern by the share of
+its occurrences that reliable instances fill, an instance by the patterns it is found with, seeds being certain. Values
+that look like an identifier of a kind but fail its base rule are found where a confident pattern of that kind stands
+around them; a secret, seed or not, is found only there.
 
 Only DataFrame functions are used.
 """
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from ._common import documents, forget, written
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
+#: A value that is a seed of a secret: hexadecimal, with digits and letters.
+HEX = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,128}$"
 # Possessive forms of the contract's patterns that match the same strings in linear time: after a failed start nothing
 # else in the same run can match, so a match begins at the edge of a run or where the last match ended.
 PATTERNS = {
@@ -35,7 +41,7 @@ RUN = r"(?<![^\s\"'(<\[=:])[+(]?+[0-9]++(?![A-Za-z@])(?:[().-]*+\x20?+[().-]*+[0
 REACH = 1000
 #: Where a value can begin inside a word: the character before it and its first one.
 GLUE = r"[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]|[^0-9][0-9]|.\+|[\"'(<\[=:]\("
-SPAN = "array<struct<k:int,s:int,e:int,v:string,left:string>>"
+SPAN = "array<struct<k:int,s:int,e:int,v:string,left:string,right:string>>"
 LEAST_SUPPORT, LEAST_PATTERN, LEAST_INSTANCE, ROUNDS = 3, 0.5, 0.5, 3
 
 
@@ -62,18 +68,21 @@ def _passes(kind: str, m: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
-    """Spans in code points of the leftmost non-overlapping matches that pass, with value and the text before.
+    """Spans in code points of the leftmost non-overlapping matches that pass, with value and the text around.
 
     Matches and the pieces between them alternate, so their lengths give the places.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+    zipped = F.arrays_zip(pieces.alias("p"), found.alias("m"), rest(pieces).alias("np"), rest(found).alias("nm"))
 
     def step(acc, x):
         start = acc["pos"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         left = F.right(F.concat(acc["tail"], x["p"]), F.lit(REACH))
         left = F.when(start > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)  # no part of a word
-        span = F.array(F.struct(F.lit(kind).alias("k"), start.alias("s"), end.alias("e"), x["m"].alias("v"), left.alias("left"))).cast(SPAN)
+        right = F.left(F.concat(x["np"], F.coalesce(x["nm"], F.lit(""))), F.lit(REACH))
+        span = F.array(F.struct(F.lit(kind).alias("k"), start.alias("s"), end.alias("e"), x["m"].alias("v"), left.alias("left"), right.alias("right"))).cast(SPAN)
         out = F.when(x["m"].isNotNull() & F.coalesce(passes(x["m"]), F.lit(False)), F.concat(acc["out"], span)).otherwise(acc["out"])
         tail = F.right(F.concat(acc["tail"], x["p"], F.coalesce(x["m"], F.lit(""))), F.lit(REACH))
         return F.struct(end.alias("pos"), tail.alias("tail"), out.alias("out"))
@@ -81,9 +90,17 @@ def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
     return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
 
-def _context(left: Column) -> Column:
-    """The two words before, lower-cased; empty if there are fewer."""
-    return F.trim(F.regexp_replace(F.regexp_extract(F.lower(left), r"(?<!\S)(\S++\s++\S++\s*+)$", 1), r"\s+", " "))
+def _words(left: Column, right: Column) -> Column:
+    """The patterns around a span, lower-cased: `2 a b`, the two words before it; `1 b`, the word before it, if a blank
+
+    follows; `x b c`, that word and the first word that begins after a blank behind the span. Any may be missing.
+    """
+    left, right = F.lower(left), F.lower(right)
+    two = F.trim(F.regexp_replace(F.regexp_extract(left, r"(?<!\S)(\S++\s++\S++\s*+)$", 1), r"\s+", " "))
+    one = F.regexp_extract(left, r"(?<!\S)(\S++)\s++$", 1)
+    after = F.regexp_extract(right, r"^\S*+\s++(\S++)(?:\s|$)", 1)
+    both = F.when((one != "") & (after != ""), F.concat(F.lit("x "), one, F.lit(" "), after))
+    return F.array_compact(F.array(F.when(two != "", F.concat(F.lit("2 "), two)), F.when(one != "", F.concat(F.lit("1 "), one)), both))
 
 
 def _shape(v: Column) -> Column:
@@ -94,6 +111,7 @@ def _shape(v: Column) -> Column:
         .when(v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), F.lit(1))
         .when(v.rlike(r"^[0-9 -]+$") & (digits >= 13), F.lit(2))
         .when(v.rlike(r"^[+(]?[0-9(). -]+$") & digits.between(7, 12), F.lit(3))
+        .when(v.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=.-]{16,}$"), F.lit(SECRET))
     )
 
 
@@ -107,18 +125,38 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.col("pii_base")
     blank = F.when(t.rlike(r"[0-9][().-]*\x20[().-]*[0-9]"), _spans(t, RUN, 0, lambda m: m.contains(" ") & _shape(m).isNotNull())).otherwise(none)
     other = F.concat(F.when(t.rlike(r"[0-9@]|\(at\)"), _spans(t, TOKEN, 0, lambda m: _shape(m).isNotNull())).otherwise(none), blank)
-    apart = F.filter(other, lambda o: ~F.exists(base, lambda b: (b["s"] < o["e"]) & (o["s"] < b["e"])))
+    clash = lambda o, b: (b["s"] < o["e"]) & (o["s"] < b["e"]) & ~((_shape(o["v"]) == SECRET) & (o["s"] <= b["s"]) & (b["e"] <= o["e"]))
+    apart = F.filter(other, lambda o: ~F.exists(base, lambda b: clash(o, b)))
     return found.withColumn("pii_other", F.transform(apart, lambda o: o.withField("k", _shape(o["v"]))))
 
 
 def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """ctx, t: places in all of docs where the two words of ctx stand, as whole words or with a value glued to the second."""
+    """ctx, t: places in all of docs where the words of the pattern ctx stand.
+
+    The second of two words may have a value glued to it; between the words of an `x` pattern stands one word.
+    """
     words = docs.select(F.split(F.lower("text"), r"\s+").alias("w"))
-    pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("x")).select("x.a", "x.b")
-    parted = contexts.select("ctx", F.substring_index("ctx", " ", 1).alias("a"), F.substring_index("ctx", " ", -1).alias("lead"))
-    glued = F.substring(F.col("b"), F.length("lead"), F.lit(2)).rlike(GLUE)
-    here = (pairs["a"] == parted["a"]) & pairs["b"].startswith(parted["lead"]) & ((F.col("b") == F.col("lead")) | glued)
-    return pairs.join(parted, here).groupBy("ctx").agg(F.count("*").alias("t"))
+    after = lambda n: F.slice("w", F.lit(n), F.size("w"))
+    each = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("x")).select("x.a", "x.b", "x.c")
+    part = F.split("ctx", " ")
+    parted = contexts.select("ctx", part[0].alias("type"), part[1].alias("l"), part[2].alias("r"))
+    found = [spread.select("ctx") for spread in _meet(each, parted)]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("ctx").agg(F.count("*").alias("t"))
+
+
+def _meet(each: DataFrame, parted: DataFrame) -> list[DataFrame]:
+    """Rows of ``each`` at which a pattern stands, by type of pattern; types without a pattern are left out."""
+    glued = F.substring(F.col("b"), F.length("r"), F.lit(2)).rlike(GLUE)
+    here = {
+        "2": (each["a"] == parted["l"]) & each["b"].startswith(parted["r"]) & ((F.col("b") == F.col("r")) | glued),
+        "1": each["a"] == parted["l"],
+        "x": (each["a"] == parted["l"]) & (each["c"] == parted["r"]),
+    }
+    present = {r["type"] for r in parted.select("type").distinct().collect()} or {"2"}
+    return [each.join(parted.where(F.col("type") == t), on) for t, on in here.items() if t in present]
 
 
 def bootstrap(docs: DataFrame) -> DataFrame:
@@ -126,9 +164,10 @@ def bootstrap(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     lean = with_base(docs.select("doc_id", "text")).select("doc_id", digest.alias("h"), "pii_base", "pii_other")
     lean = lean.where((F.size("pii_base") > 0) | (F.size("pii_other") > 0))
-    mark = lambda c, seed: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), x["left"].alias("left"), F.lit(seed).alias("seed")))
+    mark = lambda c, seed: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), x["left"].alias("left"), x["right"].alias("right"), (F.lit(True) if seed else (x["k"] == SECRET) & x["v"].rlike(HEX)).alias("seed")))
     each = lean.select("doc_id", "h", F.explode(F.concat(mark(F.col("pii_base"), True), mark(F.col("pii_other"), False))).alias("o"))
-    seen = written(each.select("doc_id", "h", "o.k", "o.s", "o.e", "o.v", _context(F.col("o.left")).alias("ctx"), "o.seed").where("ctx <> ''"), "pii-seen")
+    patterns_of = F.explode(_words(F.col("o.left"), F.col("o.right"))).alias("ctx")
+    seen = written(each.select("doc_id", "h", "o.k", "o.s", "o.e", "o.v", patterns_of, "o.seed"), "pii-seen")
     edges = seen.groupBy("k", "ctx", "v").agg(F.count("*").alias("c"), F.max("seed").alias("seed"), F.min("seed").alias("closed"))
     # only contexts that several seeds share, or that hold a look-alike beside one, can matter
     wide = edges.groupBy("k", "ctx").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("closed").alias("closed")).where(F.col("n") >= LEAST_SUPPORT)
@@ -146,17 +185,17 @@ def bootstrap(docs: DataFrame) -> DataFrame:
         score = graph.join(good, ["k", "ctx"]).groupBy("k", "v").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - miss).alias("r"))
         score = written(score, "pii-instances")
     sure = good.where(F.col("p") >= LEAST_PATTERN).select("k", "ctx")
-    hits = seen.where(~F.col("seed")).join(sure, ["k", "ctx"], "left_semi").join(score.where(F.col("r") >= LEAST_INSTANCE).select("k", "v"), ["k", "v"], "left_semi")
+    hits = seen.where(~F.col("seed") | (F.col("k") == SECRET)).join(sure, ["k", "ctx"], "left_semi").join(score.where(F.col("r") >= LEAST_INSTANCE).select("k", "v"), ["k", "v"], "left_semi")
     out = written(hits.select("doc_id", "h", "k", "s", "e").distinct(), "pii-found")
-    forget(seen)
+    forget(seen, graph, wide, patterns)
     return out
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs and the columns pii_base, pii_spans: array of (k index in KINDS, s, e), by kind, then start.
 
-    docs needs doc_id and text; a null text counts as empty. Discovered spans never overlap base spans. Rows that share
-    doc_id and text have the same spans.
+    docs needs doc_id and text; a null text counts as empty, a long one is read whole. Discovered spans never overlap
+    base spans, except for secrets that hold one. Rows that share doc_id and text have the same spans, and each counts.
     """
     found = bootstrap(docs).groupBy("doc_id", "h").agg(F.collect_set(F.struct("k", "s", "e")).alias("pii_new"))
     lean = lambda c: F.transform(c, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
@@ -171,7 +210,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in angle brackets; all other columns stay as they are."""
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in NAMES])
     ordered = F.array_sort(F.transform("pii_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
 
     def step(acc, x):
@@ -186,7 +225,7 @@ def masked(docs: DataFrame) -> DataFrame:
 
 
 def _joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
@@ -199,4 +238,5 @@ def op1_pii(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = personal_data(docs)
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("pii_base")), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
+    secrets = F.size(F.filter("pii_spans", lambda x: x["k"] == SECRET)).cast("long").alias("n_secret")
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("pii_base")), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"), secrets, F.size("pii_spans").cast("long").alias("n_spans"))

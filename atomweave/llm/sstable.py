@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import documents, fresh_path, small_batches, written
+from ._common import documents, fresh_path, importable, slices, written
 
 MAGIC = b"AWSSTBL1"
 BLOCK_BYTES = 64 * 1024
@@ -251,7 +251,7 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, end_id: int = 1,
     run again, or twice at once, leaves the same file.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / shard_bytes))
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
@@ -261,7 +261,7 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, end_id: int = 1,
         fs, base = pafs.FileSystem.from_uri(target)
         fs.create_dir(base, recursive=True)
         shard = w = None
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if w is None:
                     shard, tmp = at, f"{base}/.part-{at:06d}-{xxhash.xxh3_64_hexdigest(str(id(b)) + str(np.random.default_rng().integers(2**62)))}"
@@ -284,7 +284,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     n = max(1, manifest.count())
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches):
             for uri, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, path = pafs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as f:

@@ -2,9 +2,10 @@
 
 Texts are sequences of words. Anchors are winnowed: of every ``LENGTH - K + 1`` consecutive k-word hashes the smallest
 is kept, so two equal passages of LENGTH words keep the same anchors. Anchors that occur more than once seed the
-search. A seed is extended both ways to every window of LENGTH words whose smallest k-word hash it is; equal windows
-meet by their hash and all but the first (smallest document, then position) are repeats. Runs of repeated windows merge
-into maximal repeats, whose words are removed.
+search. A seed is extended both ways to every window of LENGTH words whose smallest k-word hash it is; the documents of
+an anchor are joined by their equal windows, and all but the first (smallest document, then position) are repeats. Runs
+of repeated windows merge into maximal repeats, whose words are removed. Windows are equal if two independent 64-bit
+hashes of their words are: among 10^13 windows a false pair has a probability of 10^-13.
 
 No pairs are built: a passage in a third of all documents is one group that is reduced to its first place before the
 shuffle, and each document is told only which of its windows come first.
@@ -23,11 +24,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, forget, small_batches, written
+from ._common import documents, forget, importable, integer_ids, slices, spread_join, written
 
 LENGTH, K = 20, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xBF58476D1CE4E5B9)
+_MIX2 = np.uint64(0xD6E8FEB86659FD93)
+_FOLD2 = np.uint64(0xA0761D6478BD642F)
 
 
 class Hashes:
@@ -55,16 +58,16 @@ class Hashes:
 _WORDS = Hashes()
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words."""
+def windows(h: np.ndarray, k: int, mix: np.uint64 = _MIX, fold: np.uint64 = _FOLD) -> np.ndarray:
+    """Hash of each k consecutive words; other odd constants give an independent one."""
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(m, np.uint64)
     for j in range(k):
-        out = (out ^ h[j : j + m]) * _MIX
+        out = (out ^ h[j : j + m]) * mix
         out ^= out >> np.uint64(29)
-        out *= _FOLD
+        out *= fold
         out ^= out >> np.uint64(32)
     return out
 
@@ -81,7 +84,7 @@ def winnow(h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, at, hs = [], [], []
             for key, text in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "replace").split()
@@ -126,7 +129,7 @@ def _extend(length: int, k: int, with_text: bool):
     """Results of texts without seeds or that are copies; of all others the windows at their seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(8)]
             for doc_id, row, text, seeds, copy in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), b.column(4).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
@@ -138,22 +141,23 @@ def _extend(length: int, k: int, with_text: bool):
                     h = _WORDS(words)
                     at = _seeded(h, seeds.values.to_numpy(), length, k)
                     if len(at):
-                        wins, places = windows(h, length)[at].view(np.int64), at.astype(np.int64) << 32 | zlib.crc32(data)
+                        wins, places = tuple(windows(h, length, *c)[at].view(np.int64) for c in ((_MIX, _FOLD), (_MIX2, _FOLD2))), at.astype(np.int64) << 32 | zlib.crc32(data)
                 sha, kept = _sha(words) if wins is None else (None, b"")
                 for col, x in zip(out, (doc_id, n, gone, sha, kept.decode() if with_text and wins is None else None, row, None if wins is None else text, (wins, places)), strict=True):
                     col.append(x)
-            lens = np.array([0] + [0 if w is None else len(w) for w, _ in out[7]])
+            lens = np.array([0] + [0 if w is None else len(p) for w, p in out[7]])
             ends = pa.array(np.cumsum(lens), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in out[7] if x[0] is not None] or [np.zeros(0, np.int64)]))) for i in (0, 1)]
+            found = [(*w, p) for w, p in out[7] if w is not None] or [(np.zeros(0, np.int64),) * 3]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*found, strict=True)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=False)), *lists], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "row", "text", "windows", "places"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=False)), *lists], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "row", "text", "windows", "others", "places"])
 
     return run
 
 
 def _remove(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(4)]
             for text, places, first in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 words, p = text.encode("utf-8", "replace").split(), places.values.to_numpy()
@@ -171,29 +175,34 @@ def _remove(length: int, with_text: bool):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by blanks; null without with_text).
 
-    docs: doc_id, text; null texts have no words. The first place of a passage is in the smallest doc_id (a null one
-    before all), then at the earliest start, and of rows that share an id in the text with the smaller crc32. Rows that
-    repeat both id and text are one place and lose alike. A text equal to one of a smaller id loses all its words, if
-    they are ``length`` or more, and takes no further part.
+    docs: doc_id, an integer, and text; null, empty and blank texts have no words, long ones are taken whole. The first
+    place of a passage is in the smallest doc_id (null ones before all, in an order of their texts), then at the earliest
+    start, and of rows that share an id in the text with the smaller crc32. Rows that repeat both id and text are one
+    place and lose alike. A text equal to one of a smaller id loses all its words, if they are ``length`` or more, and
+    takes no further part.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("row"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("d"))
-    ids = docs.select("row", "d", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("e"))
-    twice = ids.groupBy("d", "e").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
-    copies = ids.join(twice, ["d", "e"]).where("row > first").groupBy("row").agg(F.collect_set("d").alias("copies"))
+    importable(spark)
+    text = F.coalesce("text", F.lit(""))
+    nulls = F.lit(-(2**63)) + F.pmod(F.xxhash64(text, F.lit(2)), F.lit(2**62))  # so that they don't meet in one task
+    docs = integer_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), nulls).alias("row"), "text", F.xxhash64(text).alias("d"))
+    ids = docs.select("row", "d", F.xxhash64(F.lit(1), text).alias("e"))
+    n_rows = docs.count()
+    twice = ids.groupBy("d", "e").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    twice = written(twice, "rep-twice")
+    copies = spread_join(ids, twice, ["d", "e"], "n", n_rows).where("row > first").groupBy("row").agg(F.collect_set("d").alias("copies"))
     anchors = written(docs.select("row", "text").mapInArrow(_anchors(length, k), "anchor long, row long, at int"), "rep-anchors")
-    often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "rep-often")  # as a table, it lets a hot anchor be split
-    seeds = anchors.join(often, "anchor", "left_semi").groupBy("row").agg(F.collect_list("at").alias("seeds"))
+    often = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "rep-often")
+    seeds = spread_join(anchors, often, ["anchor"], "n", anchors.count()).groupBy("row").agg(F.collect_set("at").alias("seeds"))
     told = written(seeds.join(copies, "row", "full"), "rep-seeds")
-    forget(anchors)
+    forget(anchors, often, twice)
     is_copy = F.coalesce(F.array_contains("copies", F.col("d")), F.lit(False))
     joined = docs.join(told, "row", "left").select("doc_id", "row", "text", "seeds", is_copy.alias("copy"))
-    found = written(joined.mapInArrow(_extend(length, k, with_text), f"{RESULT}, row long, text string, windows array<long>, places array<long>"), "rep-windows")
+    found = written(joined.mapInArrow(_extend(length, k, with_text), f"{RESULT}, row long, text string, windows array<long>, others array<long>, places array<long>"), "rep-windows")
     forget(told)
     open_ = found.where("text IS NOT NULL")
-    each = open_.select("row", F.explode(F.arrays_zip("windows", "places")).alias("w")).select("row", "w.windows", "w.places")
-    first = each.groupBy("windows").agg(F.min(F.struct("row", "places")).alias("f"))
+    each = open_.select("row", F.explode(F.arrays_zip("windows", "others", "places")).alias("w")).select("row", "w.windows", "w.others", "w.places")
+    first = each.groupBy("windows", "others").agg(F.min(F.struct("row", "places")).alias("f"))
     firsts = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list("f.places").alias("first"))
     rest = open_.join(firsts, "row", "left").select("doc_id", "text", "places", "first").mapInArrow(_remove(length, with_text), RESULT)
     return found.where("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)

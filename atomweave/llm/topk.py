@@ -18,31 +18,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import small_batches
+from ._common import importable
 
 PROBE = 8
 
 
+TOP = 2**63 - 1
+
+
 def _pack(df: DataFrame, block_rows: int) -> DataFrame:
-    """Blocks of rows: blk, ids binary (int64), m binary (int64, row-major), n."""
+    """Blocks of rows whose vectors have one length: blk, ids binary (int64), m binary (int64, row-major), dim."""
 
     def pack(batches):
         for b in batches:
-            n = b.num_rows
-            for s in range(0, n, block_rows):
-                part = b.slice(s, block_rows)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(ids)], pa.int32())], ["ids", "m", "n"])
+            ids, lists = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1)
+            dims = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                for s in range(0, len(rows), block_rows):
+                    part = rows[s : s + block_rows]
+                    m = lists.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([int(dim)], pa.int32())], ["ids", "m", "dim"])
 
-    return df.mapInArrow(pack, "ids binary, m binary, n int").withColumn("blk", F.monotonically_increasing_id())
+    return df.mapInArrow(pack, "ids binary, m binary, dim int").withColumn("blk", F.monotonically_increasing_id())
 
 
 def maxscore(queries: np.ndarray, qids: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int):
     """(query id, id, score) of the k best of each query of a block in one shard, ties to the smaller id, the query's own left out."""
     order = np.argsort(ids, kind="stable")
     docs, ids = docs[order], ids[order]
-    exact = int(np.abs(docs).max(initial=0)) * int(np.abs(queries).max(initial=0)) * docs.shape[1] < 2**53
+    widest = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (queries, docs)]
+    exact = widest[0] * widest[1] * docs.shape[1] < 2**53
     kind = np.float64 if exact else object  # products of great integers need Python's
     q, d = queries.astype(kind), docs.astype(kind)
     a, b = q * d.min(0), q * d.max(0)
@@ -60,6 +66,9 @@ def maxscore(queries: np.ndarray, qids: np.ndarray, docs: np.ndarray, ids: np.nd
         """The running k-th score from sums that are reached for certain; own rows count as passed over."""
         if known.shape[1] >= spare:
             np.maximum(theta, np.partition(known, known.shape[1] - spare, 1)[:, known.shape[1] - spare], out=theta)
+            if not exact:  # what a long can't hold counts as the nearest one, so such scores tie
+                theta[theta > TOP] = TOP
+                theta[theta <= -TOP - 1] = -(2**200)
 
     lift(q @ d[:: max(1, len(d) // (8 * spare))].T)
     # terms are essential until, for the median query, the rest can't reach the k-th score by themselves
@@ -74,29 +83,30 @@ def maxscore(queries: np.ndarray, qids: np.ndarray, docs: np.ndarray, ids: np.nd
         left = left + (q[rows, step] * d[cols, step]).sum(1)
         stay = left + most[rows, step.stop] >= theta[rows]
         rows, cols, left = rows[stay], cols[stay], left[stay]
-    best = np.lexsort((ids[cols], -left, rows))
+    if not exact:
+        left = np.array([min(max(x, -TOP - 1), TOP) for x in left.tolist()], object)
+    best = np.lexsort((ids[cols], -left, rows)) if exact else np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -left[i], ids[cols[i]])), np.int64)
     rows, cols, left = rows[best], cols[best], left[best]
     first = np.searchsorted(rows, rows)
     top = np.arange(len(rows)) - first < k
     return qids[rows[top]], ids[cols[top]], left[top].astype(np.int64)
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 20, doc_block: int = 8192, query_block: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 20, doc_block: int = 10_000, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer inner products of each query, ties to the smaller vec_id.
 
-    Both sides: vec_id long, v array<long>, without nulls. Rows shorter than the longest vector take no part. A query's own id is left out. Rows that
-    share an id count one by one. Each task holds one block of candidates and one of queries.
+    Both sides: vec_id long, v array<long>, without nulls. Of two vectors the shorter one counts as filled up with
+    zeros. A query's own id is left out. Rows that share an id count one by one. A score that a long can't hold counts
+    as the nearest long. Each task holds one block of candidates and one of queries.
     """
     spark = docs.sparkSession
-    dim = docs.agg(F.max(F.size("v"))).first()[0]
-    if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    docs, queries = docs.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    small_batches(spark, doc_block)
-    shards = _pack(docs.select("vec_id", "v"), doc_block).select(F.col("blk").alias("dblk"), F.col("ids").alias("dids"), F.col("m").alias("dm"))
+    importable(spark)
     n = docs.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shards = _pack(docs.select("vec_id", "v"), doc_block).select(F.col("blk").alias("dblk"), F.col("ids").alias("dids"), F.col("m").alias("dm"), F.col("dim").alias("ddim"))
     parts = max(1, math.ceil(queries.count() / query_block))
-    asked = _pack(queries.select("vec_id", "v").repartitionByRange(parts, "vec_id"), query_block).select(F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    asked = _pack(queries.select("vec_id", "v").repartitionByRange(parts, "vec_id"), query_block).select(F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("dim").alias("qdim"))
     # the stated queries against all rows, block by block: candidates are dealt once, each query block goes to every slice of them
     slices = max(1, math.ceil(n / doc_block))
     shards = shards.withColumn("slice", F.pmod(F.xxhash64("dblk"), F.lit(slices)))
@@ -104,12 +114,12 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 20, doc_block: int = 819
 
     def search(batches):
         for b in batches:
-            for qi, qm, di, dm in zip(*(b.column(c).to_pylist() for c in ("qids", "qm", "dids", "dm")), strict=True):
-                qids, ids = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
-                got = maxscore(np.frombuffer(qm, np.int64).reshape(len(qids), -1), qids, np.frombuffer(dm, np.int64).reshape(len(ids), -1), ids, k)
+            for qi, qm, qd, di, dm, dd in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                qids, ids, m = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64), min(qd, dd)
+                got = maxscore(np.frombuffer(qm, np.int64).reshape(len(qids), qd)[:, :m], qids, np.frombuffer(dm, np.int64).reshape(len(ids), dd)[:, :m], ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["query_id", "vec_id", "score"])
 
-    found = asked.join(shards, "slice").select("qids", "qm", "dids", "dm").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = asked.join(shards, "slice").select("qids", "qm", "qdim", "dids", "dm", "ddim").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -38,11 +38,28 @@ def test_top_k_over_blocks_and_odd_rows(spark):
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     v = topk.quantised(df)
     got = sorted(tuple(r) for r in topk.top_k(v.where("vec_id % 20 = 0"), v, 7, doc_block=16, query_block=2).collect())
-    exact = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in e]) for i, e in rows]
+    exact = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in e]) for i, e in rows] + [(240, [32] + [0] * 7)]
     assert got == brute([x for x in exact if x[0] % 20 == 0], exact, 7)
     assert topk.top_k(v.where("false"), v.where("false"), 7).count() == 0
 
 
+def test_vectors_of_several_lengths_and_great_components(spark):
+    rng = np.random.default_rng(5)
+    exact = [(i, [int(x) for x in rng.integers(-50, 51, rng.choice([0, 1, 3, 8, 40]))]) for i in range(90)]
+    most = 2**62
+    for rows in (exact, exact[:30] + [(100, [most, most]), (120, [most, -most]), (140, [-most, most, 1]), (160, [-most, -most])]):
+        df = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+        got = sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 20 = 0"), df, 6, doc_block=16, query_block=2).collect())
+        longest = max(len(v) for _, v in rows)
+        full = [(i, v + [0] * (longest - len(v))) for i, v in rows]
+        want = []
+        for q, a in full:
+            if q % 20 == 0:
+                s = sorted((-min(max(sum(x * y for x, y in zip(a, v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in full if i != q)
+                want += [(q, r + 1, i, -t) for r, (t, i) in enumerate(s[:6])]
+        assert got == sorted(want)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 
