@@ -17,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ._common import documents, importable, slices
 
 PROFILE = 400
+#: Random letters score up to 0.21, running text of a learned language from 0.45 up, if there are enough letters.
+LEAST_SCORE, ENOUGH_GRAMS = 0.3, 300
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -50,7 +53,10 @@ def grams(text: str) -> np.ndarray:
 
 def ranked(text: str, size: int) -> np.ndarray:
     """The most frequent n-grams of a text, most frequent first, ties by packed value."""
-    g = grams(text)
+    return _top(grams(text), size)
+
+
+def _top(g: np.ndarray, size: int) -> np.ndarray:
     if not len(g):
         return g
     u, n = np.unique(g, return_counts=True)
@@ -73,7 +79,11 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is 1 less the mean distance over the greatest one; `und`, 0 without letters or profiles."""
-        r = ranked(text or "", self.size)
+        return self.nearest(grams(text or ""))
+
+    def nearest(self, g: np.ndarray) -> tuple[str, float]:
+        """``predict`` for the n-grams of a text."""
+        r = _top(g, self.size)
         if not len(r) or not self.langs:
             return UNKNOWN, 0.0
         at = np.searchsorted(self.every, r)
@@ -134,26 +144,37 @@ def _counts(lang: str, u: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, lang_pred, score, one row for each; null and letterless texts are `und`."""
+    """docs (doc_id, text) -> doc_id, lang_pred, score, one row for each.
+
+    Null, empty and letterless texts are `und`, as is every text if nothing was learned. Languages at the same distance
+    go by name. Whole texts count, however long; repeated rows are alike.
+    """
     importable(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = [model.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, StructType([docs.schema["doc_id"], *StructType.fromDDL("lang_pred string, score double").fields]))
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
+def reject(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """docs without the rows whose text has no letter, or is of no learned language; all columns stay as they are.
 
-def reject(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """docs without the rows whose text has no language or scores below ``least``; all columns stay as they are."""
+    Of no learned language is a text of at least ENOUGH_GRAMS n-grams (about 100 letters) that scores below ``least``.
+    Shorter texts say too little, and if nothing was learned only the letter counts.
+    """
     importable(docs.sparkSession)
     at = docs.columns.index("text")
 
+    def keep(text: str | None) -> bool:
+        g = grams(text or "")
+        return len(g) > 0 and (len(g) < ENOUGH_GRAMS or not model.langs or model.nearest(g)[1] >= least)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = [model.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
+            yield b.filter(pa.array([keep(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a flow whose rate is its target. Its documents, shuffled by a seeded hash of their ids, get virtual
+Each source is a flow whose rate is its target. Its documents, shuffled by a seeded hash of ids and texts, get virtual
 finish times: words of the source so far, repeats included, divided by the target. All copies are sorted by finish time
 and cut at the total budget. At virtual time t every flow has been served t times its target, so the cut falls at 1 and
 each source is within one document of its target.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,15 +42,21 @@ def fair_targets(sizes: list[int], weights: list[float], budget: float, max_epoc
     return targets
 
 
+def shuffle_hash(doc_id: Column, text: Column, seed: int = 17) -> Column:
+    """What the rows of a source are shuffled by."""
+    return F.xxhash64(doc_id, text, F.lit(seed))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
-    """doc_id and source of each row of docs (doc_id, text, source), in addition: size, source_size, target, taken, finish.
+    """doc_id and source of each row of docs (doc_id, text, source), in addition: h, size, source_size, target, taken, finish.
 
     size: words of the text (null: 0). Sources in code-point order, null last, get the weights in turn; their number
     is what the driver holds. taken: size times the copies in the mix. finish: virtual finish time of the first copy.
-    Rows without words take nothing. Rows that share a doc_id are separate rows. Reruns give the same mix.
+    h: the hash of doc_id and text that shuffles the rows of a source. Null, empty and blank texts have no words and take
+    nothing. Rows that share a doc_id, or repeat, are separate rows. Reruns give the same mix.
     """
     spark = docs.sparkSession
-    rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("h")), "mix-sizes")
+    rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_hash(F.col("doc_id"), F.col("text"), seed).alias("h")), "mix-sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     budget = sum(r["size"] for r in stats)
@@ -76,10 +82,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     served = copies.withColumn("served", F.sum("w").over(queue.rowsBetween(Window.unboundedPreceding, 0))).join(slots, "slot")
     take = F.col("runs") & (F.col("served") + F.col("ahead") <= budget)
     out = served.groupBy("sid", "b", "rn").agg(
-        F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.sum(F.when(take, F.col("size")).otherwise(F.lit(0))).alias("taken"), F.min("finish").alias("finish"),
     )
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "finish")
+    return out.select("doc_id", "source", "h", "size", "source_size", "target", "taken", "finish")
 
 
 def op4_mixing(spark, sf_dir):
