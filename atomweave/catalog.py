@@ -177,7 +177,7 @@ def backup_restore(spark, sf):
     from .storage import shared_dir
 
     s = space(spark, sf, conversations=["conv_id", "role"])
-    path = f"{shared_dir(spark)}/atomweave/backup-{id(s)}"
+    path = f"{shared_dir(spark)}/atomweave/backup-{s.name}"
     s.backup(path)
     other = Space(spark)
     other.restore(path)
@@ -251,9 +251,9 @@ def sink_and(spark, sf):
     return _sunk(spark, sf, "(exec 0 (, (customer $n $m)) (O (and (b $n $t) $t $m)))", "b", ["nation", "bits"], customer=["c_nationkey", "c_mktsegment"])
 
 
-@query()
+@query("SELECT n_regionkey AS region, printf('%016x', bit_xor(CAST('0x' || substr(md5(n_name), 1, 16) AS UBIGINT))) AS hash FROM nation GROUP BY 1")
 def sink_hash(spark, sf):
-    return _sunk(spark, sf, "(exec 0 (, (nation $n $r)) (O (hash (h $r $t) $t $n)))", "h", ["region", "hash"], nation=["n_name", "n_regionkey"])
+    return _sunk(spark, sf, "(exec 0 (, (nation $n $r)) (O (hash (h $r $t) $t $n)))", "h", ["region", "hash"], nation=["n_name", "n_regionkey"]).withColumn("hash", F.lower(F.hex("hash")))
 
 
 @query("SELECT name FROM (SELECT DISTINCT p_name AS name FROM part) ORDER BY strlen(name), name LIMIT 10")
@@ -267,11 +267,11 @@ def sink_tail(spark, sf):
     return out.select(F.col("k").cast("string").alias("k"))
 
 
-@query("SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 10")
+@query("SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def set_difference(spark, sf):
     s = Space(spark)
     s.add_table(_table(spark, sf, "customer").select("c_nationkey"), "a")
-    s.add_table(_table(spark, sf, "supplier").where("s_nationkey < 10").select("s_nationkey"), "b")
+    s.add_table(_table(spark, sf, "supplier").where("s_acctbal < 0").select("s_nationkey"), "b")
     s.add("(exec 0 (, (a $x) (b $y)) (O (+ (d $x)) (- (d $y))))")
     s.run()
     return s.table("d", 1, ["n"])
@@ -287,28 +287,27 @@ def set_intersection(spark, sf):
     return s.table("i", 1, ["n"])
 
 
-@query("SELECT c_nationkey AS n FROM customer WHERE c_nationkey < 15 UNION SELECT s_nationkey FROM supplier WHERE s_nationkey >= 10")
+@query("SELECT c_nationkey AS n FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 def set_union(spark, sf):
     s = Space(spark)
-    s.add_table(_table(spark, sf, "customer").where("c_nationkey < 15").select("c_nationkey"), "a")
-    s.add_table(_table(spark, sf, "supplier").where("s_nationkey >= 10").select("s_nationkey"), "b")
+    s.add_table(_table(spark, sf, "customer").where("c_acctbal < 0").select("c_nationkey"), "a")
+    s.add_table(_table(spark, sf, "supplier").where("s_acctbal > 9000").select("s_nationkey"), "b")
     s.add("(exec 0 (, (a $x) (b $y)) (, (u $x) (u $y)))")
     s.run()
     return s.table("u", 1, ["n"])
 
 
-@query("(SELECT n_nationkey AS n FROM nation WHERE n_nationkey < 15 EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey >= 10) UNION (SELECT n_nationkey FROM nation WHERE n_nationkey >= 10 EXCEPT SELECT n_nationkey FROM nation WHERE n_nationkey < 15)")
+@query("(SELECT c_nationkey AS n FROM customer WHERE c_acctbal < -900 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal < -900)")
 def set_symmetric_difference(spark, sf):
     s = Space(spark)
-    n = _table(spark, sf, "nation").select("n_nationkey")
-    s.add_table(n.where("n_nationkey < 15"), "a")
-    s.add_table(n.where("n_nationkey >= 10"), "b")
+    s.add_table(_table(spark, sf, "customer").where("c_acctbal < -900").select("c_nationkey"), "a")
+    s.add_table(_table(spark, sf, "supplier").where("s_acctbal > 5000").select("s_nationkey"), "b")
     s.add("(exec 0 (, (a $x) (b $y) (a $m) (b $m)) (O (+ (d $x)) (+ (d $y)) (- (d $m))))")
     s.run()
     return s.table("d", 1, ["n"])
 
 
-@query()
+@query("SELECT '(region ' || r_name || ')' AS atom FROM region UNION SELECT '(fact (f $a c))' UNION SELECT '(fact (f a $a))' UNION SELECT '(f a c)'")
 def sink_unify(spark, sf):
     s = space(spark, sf, region=["r_name"])
     s.add("(fact (f $x c)) (fact (f a $y)) (exec 0 (, (fact $e) (region $r)) (O (U $e)))")
@@ -381,17 +380,15 @@ def pure_control(spark, sf):
 # ---------------------------------------------------------------------------------------------- graphs
 
 
-def _trade(spark, sf, below: int | None = None) -> DataFrame:
-    """Supplier and customer nations of all order lines, or of the large orders alone: a graph of nations."""
+def _trade(spark, sf) -> DataFrame:
+    """Supplier and customer nations of all order lines: a graph of nations."""
     li, o = _table(spark, sf, "lineitem"), _table(spark, sf, "orders")
     s, c = _table(spark, sf, "supplier"), _table(spark, sf, "customer")
-    if below is not None:
-        li = li.where(f"l_suppkey % 10 = 0 AND l_linenumber = 1 AND l_quantity > {below}")
     e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(c, o["o_custkey"] == c["c_custkey"])
     return e.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
 
 
-_TRADE = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE l_suppkey % 10 = 0 AND l_linenumber = 1 AND l_quantity > {}"
+_TRADE = "SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey"
 
 
 def _reached(e: DataFrame) -> DataFrame:
@@ -406,48 +403,35 @@ def _far(e: DataFrame) -> DataFrame:
     return s.table("far", 2, ["src", "dst"])
 
 
-@query(f"WITH RECURSIVE e AS ({_TRADE.format(45)}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src, dst FROM r")
+@query(f"WITH RECURSIVE e AS ({_TRADE}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src, dst FROM r")
 def closure(spark, sf):
-    return graph.closure(_trade(spark, sf, 45))
+    return graph.closure(_trade(spark, sf))
 
 
-@query(f"WITH RECURSIVE e AS ({_TRADE.format(45)}), r AS (SELECT (SELECT min(src) FROM e) AS node UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT DISTINCT node FROM r WHERE node IS NOT NULL")
+@query(f"WITH RECURSIVE e AS ({_TRADE}), r AS (SELECT (SELECT min(src) FROM e) AS node UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT DISTINCT node FROM r WHERE node IS NOT NULL")
 def reachability(spark, sf):
-    return _reached(_trade(spark, sf, 45))
+    return _reached(_trade(spark, sf))
 
 
-@query(f"WITH e AS ({_TRADE.format(48)}) SELECT DISTINCT a.src AS src, c.dst AS dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src")
+@query(f"WITH e AS ({_TRADE}) SELECT DISTINCT a.src AS src, c.dst AS dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src")
 def endpoint_chain(spark, sf):
-    return graph.k_hop(_trade(spark, sf, 48), 3)
+    return graph.k_hop(_trade(spark, sf), 3)
 
 
-@query(f"WITH e AS ({_TRADE.format(48)}) SELECT DISTINCT a.src AS src, c.dst AS dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src")
+@query(f"WITH e AS ({_TRADE}) SELECT DISTINCT a.src AS src, c.dst AS dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src")
 def chain_rule(spark, sf):
     """The same chain as one rule; endpoints are made distinct at every hop by the compiler."""
-    return _far(_trade(spark, sf, 48))
+    return _far(_trade(spark, sf))
 
 
-@query(f"WITH t AS ({_TRADE.format(40)}), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE src <> dst) SELECT x.a AS c1, x.b AS c2, y.b AS c3 FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
+@query(f"WITH t AS ({_TRADE}), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE src <> dst) SELECT x.a AS c1, x.b AS c2, y.b AS c3 FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
 def clique3(spark, sf):
-    return graph.cliques(_trade(spark, sf, 40), 3)
+    return graph.cliques(_trade(spark, sf), 3)
 
 
-@query(f"WITH t AS ({_TRADE.format(40)}), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE src <> dst) SELECT x.a AS c1, x.b AS c2, y.b AS c3, w.b AS c4 FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b JOIN u w ON w.a = y.b JOIN u p ON p.a = x.a AND p.b = w.b JOIN u q ON q.a = x.b AND q.b = w.b")
+@query(f"WITH t AS ({_TRADE}), u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE src <> dst) SELECT x.a AS c1, x.b AS c2, y.b AS c3, w.b AS c4 FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b JOIN u w ON w.a = y.b JOIN u p ON p.a = x.a AND p.b = w.b JOIN u q ON q.a = x.b AND q.b = w.b")
 def clique4(spark, sf):
-    return graph.cliques(_trade(spark, sf, 40), 4)
-
-
-# The same six over all suppliers, lines and quantities.
-for _name, _below, _run in [
-    ("closure", 45, graph.closure),
-    ("reachability", 45, _reached),
-    ("endpoint_chain", 48, lambda e: graph.k_hop(e, 3)),
-    ("chain_rule", 48, _far),
-    ("clique3", 40, lambda e: graph.cliques(e, 3)),
-    ("clique4", 40, lambda e: graph.cliques(e, 4)),
-]:
-    QUERIES[f"{_name}_whole"] = lambda spark, sf, run=_run: run(_trade(spark, sf))
-    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_TRADE.format(_below), _TRADE.partition(" WHERE ")[0])
+    return graph.cliques(_trade(spark, sf), 4)
 
 
 # ---------------------------------------------------------------------------------------------- path algebra
@@ -465,21 +449,21 @@ def _sql_path(*cols: str) -> str:
     return " || ".join(f"lpad(upper(hex(strlen(CAST({c} AS VARCHAR)))), 2, '0') || upper(hex(CAST(CAST({c} AS VARCHAR) AS BLOB)))" for c in cols)
 
 
-@query(f"SELECT {_sql_path('c_nationkey')} AS path FROM customer WHERE c_nationkey < 9 UNION SELECT {_sql_path('s_nationkey')} FROM supplier")
+@query(f"SELECT {_sql_path('c_nationkey')} AS path FROM customer WHERE c_acctbal < 0 UNION SELECT {_sql_path('s_nationkey')} FROM supplier")
 def vm_union(spark, sf):
-    a = _table(spark, sf, "customer").where("c_nationkey < 9").select(algebra.path_of(F.col("c_nationkey").cast("string")).alias("path"))
+    a = _table(spark, sf, "customer").where("c_acctbal < 0").select(algebra.path_of(F.col("c_nationkey").cast("string")).alias("path"))
     return _shown(algebra.union(a, _paths(spark, sf, "supplier", "s_nationkey")))
 
 
-@query(f"SELECT {_sql_path('c_nationkey')} AS path FROM customer INTERSECT SELECT {_sql_path('s_nationkey')} FROM supplier WHERE s_nationkey > 9")
+@query(f"SELECT {_sql_path('c_nationkey')} AS path FROM customer INTERSECT SELECT {_sql_path('s_nationkey')} FROM supplier WHERE s_acctbal > 5000")
 def vm_intersection(spark, sf):
-    b = _table(spark, sf, "supplier").where("s_nationkey > 9").select(algebra.path_of(F.col("s_nationkey").cast("string")).alias("path"))
+    b = _table(spark, sf, "supplier").where("s_acctbal > 5000").select(algebra.path_of(F.col("s_nationkey").cast("string")).alias("path"))
     return _shown(algebra.intersection(_paths(spark, sf, "customer", "c_nationkey"), b))
 
 
-@query(f"SELECT {_sql_path('c_nationkey')} AS path FROM customer EXCEPT SELECT {_sql_path('s_nationkey')} FROM supplier WHERE s_nationkey > 9")
+@query(f"SELECT {_sql_path('c_nationkey')} AS path FROM customer EXCEPT SELECT {_sql_path('s_nationkey')} FROM supplier WHERE s_acctbal > 5000")
 def vm_subtraction(spark, sf):
-    b = _table(spark, sf, "supplier").where("s_nationkey > 9").select(algebra.path_of(F.col("s_nationkey").cast("string")).alias("path"))
+    b = _table(spark, sf, "supplier").where("s_acctbal > 5000").select(algebra.path_of(F.col("s_nationkey").cast("string")).alias("path"))
     return _shown(algebra.subtraction(_paths(spark, sf, "customer", "c_nationkey"), b))
 
 
@@ -518,3 +502,175 @@ def rule_pipeline(spark, sf):
 @query("SELECT atom FROM (SELECT DISTINCT '(nation ' || n_nationkey || ' ' || n_regionkey || ')' AS atom FROM nation)")
 def dump_lines(spark, sf):
     return space(spark, sf, nation=["n_nationkey", "n_regionkey"]).lines().select("atom")
+
+
+# ---------------------------------------------------------------------------------------------- loading and reading
+
+
+def _shared(spark, s: Space, name: str) -> str:
+    from .storage import shared_dir
+
+    return f"{shared_dir(spark)}/atomweave/{name}-{s.name}"
+
+
+@query("SELECT DISTINCT n_name AS nation, n_regionkey AS region FROM nation")
+def load_csv(spark, sf):
+    """Rows written as CSV and loaded through a pattern and a template."""
+    s = Space(spark)
+    path = _shared(spark, s, "csv")
+    _table(spark, sf, "nation").select(F.concat_ws(",", F.col("n_nationkey"), F.col("n_name"), F.col("n_regionkey"))).write.text(path)
+    loaders.load_csv(s, path, "($i $k $name $r)", "(in $name $r)")
+    return s.table("in", 2, ["nation", "region"]).select("nation", F.col("region").cast("long").alias("region"))
+
+
+@query("SELECT DISTINCT j.key AS k, j.value ->> '$' AS v FROM events, json_each(events.props) AS j WHERE props IS NOT NULL AND j.type <> 'NULL'")
+def load_jsonl(spark, sf):
+    s = Space(spark)
+    path = _shared(spark, s, "jsonl")
+    _table(spark, sf, "events").where("props IS NOT NULL").select("props").write.text(path)
+    loaders.load_jsonl(s, path, "ev")
+    return s.select("(ev $i $k $v)", k="$k", v="$v")
+
+
+@query("SELECT event_id, '(' || j.key || ' ' || (j.value ->> '$') || ')' AS path FROM events, json_each(events.props) AS j WHERE props IS NOT NULL")
+def json_paths(spark, sf):
+    return loaders.json_paths(_table(spark, sf, "events"), "event_id", "props")
+
+
+@query("SELECT '(has ' || replace(r_name, ' ', '_') || ' ' || r_regionkey || ')' AS atom FROM region WHERE r_regionkey <> 1")
+def load_transformed(spark, sf):
+    """Text atoms go in and out through a pattern and a template."""
+    s = Space(spark)
+    text = "\n".join(f"(row {r['r_regionkey']} {r['name']}) (note {r['name']})" for r in _table(spark, sf, "region").withColumn("name", F.replace("r_name", F.lit(" "), F.lit("_"))).collect())
+    s.add_as(text, "(row $k $name)", "(has $name $k)")
+    s.remove_as(text, "(row 1 $name)", "(has $name 1)")
+    return spark.createDataFrame([(x,) for x in s.dump()], "atom string")
+
+
+@query("SELECT '(in ' || n_regionkey || ' ' || n_nationkey || ')' AS line FROM nation")
+def dump_by_pattern(spark, sf):
+    s = space(spark, sf, nation=["n_nationkey", "n_regionkey"])
+    s.add("(other 1 2)")
+    return spark.createDataFrame([(x,) for x in s.dump_as("(nation $n $r)", "(in $r $n)")], "line string")
+
+
+@query("SELECT DISTINCT n_regionkey AS region, n_nationkey AS nation FROM nation")
+def copy_template(spark, sf):
+    s = space(spark, sf, nation=["n_nationkey", "n_regionkey"])
+    s.copy("(nation $n $r)", "(of $r $n)")
+    return s.table("of", 2, ["region", "nation"])
+
+
+@query("SELECT DISTINCT c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def transform_patterns(spark, sf):
+    s = space(spark, sf, customer=["c_name", "c_nationkey"], nation=["n_nationkey", "n_name"])
+    s.transform(["(customer $c $n)", "(nation $n $name)"], "(lives $c $name)")
+    return s.table("lives", 2, ["name", "nation"])
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS child, count(*) AS n FROM nation GROUP BY 1")
+def browse_children(spark, sf):
+    """The symbols below a ground prefix and how many atoms each leads to."""
+    s = space(spark, sf, nation=["n_regionkey", "n_nationkey"])
+    got = s.browse("(nation $r $n)")
+    return spark.createDataFrame([(atom.split()[1], n) for _, atom, n in got], "child string, n long")
+
+
+@query("SELECT count(*) AS atoms, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F')) AS some FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)")
+def count_atoms(spark, sf):
+    s = space(spark, sf, orders=["o_custkey", "o_orderstatus"])
+    return spark.createDataFrame([(s.statistics()["atoms"], s.count("(orders $c F)"))], "atoms long, some long")
+
+
+@query("SELECT DISTINCT n_nationkey AS n FROM nation WHERE n_regionkey <> 1")
+def clear_pattern(spark, sf):
+    s = space(spark, sf, nation=["n_nationkey", "n_regionkey"])
+    s.clear("(nation $n 1)")
+    return s.select("(nation $n $r)", n="$n")
+
+
+# ---------------------------------------------------------------------------------------------- places, regions, forms of rules
+
+
+@query("SELECT DISTINCT n_name AS nation FROM nation")
+def run_at_place(spark, sf):
+    """Only the rules of one place run; the other one stays."""
+    s = space(spark, sf, nation=["n_nationkey", "n_name"])
+    s.add("(exec (here 1) (, (nation $k $n)) (, (seen $n))) (exec (there 1) (, (nation $k $n)) (, (seen $k)))")
+    s.run_at("here")
+    return s.table("seen", 1, ["nation"])
+
+
+@query("SELECT DISTINCT r_name AS region FROM region")
+def run_in_region(spark, sf):
+    s = Space(spark)
+    part = s.region("low")
+    part.add_table(_table(spark, sf, "region").select("r_name"), "r")
+    part.add("(exec 0 (, (r $x)) (, (got $x)))")
+    s.add("(r outside)")
+    s.run_in("low")
+    return part.table("got", 1, ["region"])
+
+
+@query("SELECT DISTINCT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def source_compat(spark, sf):
+    """Members of an I list without a source's name are plain patterns."""
+    s = space(spark, sf, nation=["n_name", "n_regionkey"], region=["r_regionkey", "r_name"])
+    s.add("(exec 0 (I (nation $n $r) (region $r $w)) (, (at $n $w)))")
+    s.run()
+    return s.table("at", 2, ["nation", "region"])
+
+
+@query("SELECT DISTINCT n_name AS nation, n_regionkey AS region FROM nation")
+def sink_compat(spark, sf):
+    """Members of an O list without a sink's name are added as they are."""
+    s = space(spark, sf, nation=["n_name", "n_regionkey"])
+    s.add("(exec 0 (, (nation $n $r)) (O (told $n $r)))")
+    s.run()
+    return s.table("told", 2, ["nation", "region"])
+
+
+@query("SELECT '(open ' || r_name || ' $a)' AS atom FROM region")
+def free_variable(spark, sf):
+    """A variable that no pattern binds stays one."""
+    s = space(spark, sf, region=["r_name"])
+    s.add("(exec 0 (, (region $r)) (, (open $r $any)))")
+    s.run()
+    return spark.createDataFrame([(x,) for x in s.dump() if x.startswith("(open ")], "atom string")
+
+
+@query("SELECT r_name AS region, 'yes' AS made FROM region")
+def empty_conjunction(spark, sf):
+    """A rule without patterns fires once."""
+    s = space(spark, sf, region=["r_name"])
+    s.add("(exec 0 (,) (, (made yes))) (exec 1 (, (region $r) (made $m)) (, (both $r $m)))")
+    s.run()
+    return s.table("both", 2, ["region", "made"])
+
+
+@query("SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS v FROM part")
+def pure_casts(spark, sf):
+    """Text to integer to float and back."""
+    f = "(i64_to_string (f64_as_i64 (i64_as_f64 (i64_from_string $s))))"
+    return _sunk(spark, sf, f"(exec 0 (, (part $k $s)) (O (pure (c $k $v) $v {f})))", "c", ["k", "v"], part=["p_partkey", "p_size"]).select(F.col("k").cast("string").alias("k"), "v")
+
+
+# ---------------------------------------------------------------------------------------------- more of the path machine
+
+
+@query(f"SELECT DISTINCT {_sql_path('n_name')} AS path FROM nation")
+def vm_iterate(spark, sf):
+    """A routine for each first component; the results are one set."""
+    m = algebra.Machine(spark, spaces={b"": _paths(spark, sf, "nation", "n_regionkey", "n_name")})
+    Op = algebra.Op
+    m.routines["one"] = [(Op.CONSTANT, "p1", b""), (Op.EXTRACT_SPACE, "s1", "p1"), (Op.UNWRAP, "s0", "s1", "p0"), (Op.EXIT, "")]
+    m.routines["all"] = [(Op.CONSTANT, "p1", b""), (Op.EXTRACT_SPACE, "s1", "p1"), (Op.ITERATE, "s0", "s1", "one"), (Op.EXIT, "")]
+    return _shown(m.run("all"))
+
+
+@query(f"SELECT DISTINCT {_sql_path('r_name')} AS path FROM region UNION SELECT {_sql_path('k')} FROM (SELECT 'one' AS k)")
+def vm_singleton(spark, sf):
+    m = algebra.Machine(spark, spaces={b"": _paths(spark, sf, "region", "r_name")})
+    Op = algebra.Op
+    m.routines["x"] = [(Op.EMPTY, "s1"), (Op.SINGLETON, "s2", "p0"), (Op.UNION, "s3", "s1", "s2"), (Op.CONSTANT, "p1", b""), (Op.EXTRACT_SPACE, "s4", "p1"), (Op.UNION, "s0", "s3", "s4"), (Op.EXIT, "")]
+    return _shown(m.run("x", algebra.path("one")))

@@ -44,8 +44,8 @@ def subtraction(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(F.col("path").alias("other")), F.col("path") == F.col("other"), "left_anti").distinct()
 
 
-def prefixes(c: Column, most: int) -> Column:
-    """All component-wise prefixes of a path, itself included, up to ``most`` components; an array."""
+def prefixes(c: Column, most: int | None = None) -> Column:
+    """All component-wise prefixes of a path, itself included; an array. ``most``: components that are looked at, if not all."""
 
     def step(acc, _):
         at = acc["at"]
@@ -55,10 +55,10 @@ def prefixes(c: Column, most: int) -> Column:
         return F.struct(F.when(more, end).otherwise(at).alias("at"), F.when(more, F.concat(acc["out"], F.array(F.substring(c, F.lit(1), end)))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most) if most else F.greatest(F.octet_length(c), F.lit(1))), start, step, lambda acc: acc["out"])
 
 
-def restriction(a: DataFrame, b: DataFrame, most: int = 16) -> DataFrame:
+def restriction(a: DataFrame, b: DataFrame, most: int | None = None) -> DataFrame:
     """Paths of a that have a prefix in b: a hash join on prefixes, not a comparison of all with all."""
     each = a.select("path", F.explode(prefixes(F.col("path"), most)).alias("lead"))
     return each.join(b.select(F.col("path").alias("other")), F.col("lead") == F.col("other"), "left_semi").select("path").distinct()

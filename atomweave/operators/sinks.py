@@ -98,7 +98,7 @@ def _reduced(kind: str, df: DataFrame, result: Term, slot: Term, value: Term, na
         "count": lambda: (F.count("*"), None, None),
         "sum": lambda: (F.coalesce(F.sum(whole_of(v, vk)), F.lit(0)) % (2**32), None, None),
         "and": lambda: (F.bit_and(F.conv(F.hex(F.substring(text.cast("binary"), 1, 1)), 16, 10).cast("int")), None, None),
-        "hash": lambda: (F.bit_xor(F.xxhash64(text)), None, None),
+        "hash": lambda: (F.bit_xor(F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")), None, None),
         "fsum": lambda: (F.coalesce(F.sum(number), F.lit(0.0)), "display", 63),
         "fprod": lambda: (F.coalesce(F.product(number), F.lit(1.0)), "display", 63),
         "fmin": lambda: (F.coalesce(F.min(plain), F.lit(BIG)), "display", 63),

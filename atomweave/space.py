@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -39,6 +40,7 @@ class Space:
     regions: dict[str, Space] = field(default_factory=dict)
     timing: bool = False
     endpoints: bool = True
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self) -> None:
         if self.spark is not None:
@@ -197,11 +199,16 @@ class Space:
 
     def _fire(self, rule: Rule) -> None:
         patterns = [p for s in rule.sources for p in stored_patterns(s, rule.typed_sources, self.functions)]
-        if any(may_match(p, r.shape) for p in patterns for r in self.relations.values()):
+        if any(may_match(p, r.shape) for p in patterns for r in self.relations.values()) or self._reads_relations(rule):
             self._fire_large(rule)
         else:
             self._fire_small(rule)
 
+    def _reads_relations(self, rule: Rule) -> bool:
+        """A snapshot that was written from relations is read as relations."""
+        named = [s[1].decode() for s in rule.sources if rule.typed_sources and isinstance(s, tuple) and len(s) == 3 and s[0] == b"ACT" and isinstance(s[1], bytes)]
+        return self.spark is not None and any(n not in self.snapshots for n in named)
+
     def _sinks(self, rule: Rule) -> list[tuple[str, tuple]]:
         return [sink_kind(t) if rule.typed_sinks else ("add", (t,)) for t in rule.sinks]
 
@@ -417,19 +424,36 @@ class Space:
             out = out.union(p)
         return out.orderBy("key")
 
-    def browse(self, pattern: str, limit: int = 100) -> list[tuple[bytes, str, int]]:
-        """Per next symbol below a pattern's ground prefix: (prefix, a representative, children); for looking around."""
+    def browse(self, pattern: str, limit: int | None = None) -> list[tuple[bytes, str, int]]:
+        """Per next symbol below a pattern's ground prefix: (prefix, a representative, atoms), in order; all of them, or the first ``limit``.
+
+        Relations are counted where they are; the driver gets one row a child.
+        """
         p = parse_one(pattern)
         from .terms import ground_prefix
 
         lead = ground_prefix(p)
-        groups: dict[bytes, list[Term]] = {}
+        groups: dict[bytes, tuple[bytes, str, int]] = {}
+
+        def note(child: bytes, k: bytes, atom: str, n: int) -> None:
+            old = groups.get(child)
+            groups[child] = (k, atom, n) if old is None else (*min(old[:2], (k, atom)), old[2] + n)
+
+        if any(may_match(p, r.shape) for r in self.relations.values()):
+            # facts in memory that meet the pattern become relations here, so none counts twice
+            below = Space(self.spark, relations={r.signature: r for r in self.query(pattern, pattern)})
+            rows = below.lines().where(F.col("key").startswith(F.lit(lead)) & (F.octet_length("key") > len(lead)))
+            first = F.conv(F.hex(F.substring(F.col("key"), len(lead) + 1, 1)), 16, 10).cast("int")
+            size = len(lead) + 1 + F.when(first > 0xC0, first.bitwiseAND(63)).otherwise(0)
+            child = F.substring(F.col("key"), F.lit(1), size)
+            for r in rows.groupBy(child.alias("child")).agg(F.min(F.struct("key", "atom")).alias("first"), F.count("*").alias("n")).collect():
+                note(bytes(r["child"]), bytes(r["first"]["key"]), r["first"]["atom"], r["n"])
         for t in self.facts:
             k = key(t)
             if k.startswith(lead) and len(k) > len(lead) and unify(p, _apart(t)) is not None:
                 n = 1 + (k[len(lead)] & 63 if k[len(lead)] > 0xC0 else 0)
-                groups.setdefault(k[: len(lead) + n], []).append(t)
-        return [(g, render(min(ts, key=key)), len(ts)) for g, ts in sorted(groups.items())[:limit]]
+                note(k[: len(lead) + n], k, render(t), 1)
+        return [(child, atom, n) for child, (_, atom, n) in sorted(groups.items())[:limit]]
 
     # ------------------------------------------------------------------------------------------ whole spaces
 
@@ -483,7 +507,7 @@ class Space:
             save_relations(self._snapshot_path(name), relations)
 
     def _snapshot_path(self, name: str) -> str:
-        return f"{shared_dir(self.spark)}/atomweave/snapshots/{id(self)}/{name}"
+        return f"{shared_dir(self.spark)}/atomweave/snapshots/{self.name}/{name}"
 
     def _snapshot(self, name: str) -> list[Term]:
         if name in self.snapshots:

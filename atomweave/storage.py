@@ -25,9 +25,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is not set, as in tests."""
+    """spark.checkpoint.dir; a folder of our own only where it is not set and all workers are on this machine."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="atomweave-"))
 
 

@@ -97,3 +97,35 @@ def test_empty_table_and_copy_clear_backup(spark, tmp_path):
     assert s.count("(ba $x $y)") == 2
     assert [r["atom"] for r in s.lines().collect()] == s.dump()
     assert {render(t) for t in parse(" ".join(s.dump()))} == set(s.dump())
+
+
+def test_hash_is_the_same_digest_in_memory_and_over_relations(spark):
+    rule = "(exec 0 (, (w $g $x)) (O (hash (h $g $v) $v $x)))"
+    rows = [("a", "pear"), ("a", "plum"), ("b", "fig")]
+    large = Space(spark)
+    large.add_table(spark.createDataFrame(rows, "g string, x string"), "w")
+    large.add(rule)
+    large.run()
+    small = Space()
+    small.add(" ".join(f"(w {g} {x})" for g, x in rows) + rule)
+    small.run()
+    assert large.dump() == small.dump() and len([x for x in small.dump() if x.startswith("(h ")]) == 2
+
+
+def test_browse_sees_relations_and_facts(spark):
+    s = Space(spark)
+    s.add_table(spark.createDataFrame([(f"k{i % 150:03d}", str(i)) for i in range(400)], "k string, v string"), "row")
+    s.add("(row (deep 1) 2) (other 1)")
+    got = {atom.split()[1]: n for _, atom, n in s.browse("(row $k $v)")}
+    assert len(got) == 151 and got["k000"] == 3 and got["k149"] == 2 and got["(deep"] == 1
+    assert len(s.browse("(row $k $v)", 7)) == 7
+
+
+def test_spaces_keep_their_own_snapshots(spark):
+    for name in ("one", "two"):
+        s = Space(spark)
+        s.add_table(spark.createDataFrame([(name,)], "x string"), "src")
+        s.add("(exec 0 (, (src $x)) (O (ACT kept (got $x)))) (exec 1 (I (ACT kept (got $x))) (, (back $x)))")
+        s.run()
+        assert s.select("(back $x)", x="$x").collect() == [(name,)]
+        del s
