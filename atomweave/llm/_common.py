@@ -17,7 +17,12 @@ from pyspark.sql.types import IntegralType
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
-_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+#: While a table is written: shuffle files go when the write has ended, and batches of texts stay small in the workers.
+_WRITING = {
+    "spark.sql.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +45,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 @contextmanager
-def _own_shuffles_only(spark: SparkSession) -> Iterator[None]:
-    """Lets the write inside delete its shuffle files when it has ended; the session's settings are as before afterwards.
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of a write; the session's own are back afterwards.
 
-    Only writes may run inside: what is read lazily would lose its files.
+    Only writes may run inside: what is read lazily would lose its shuffle files.
     """
-    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
-        for k in _CLEANUP:
-            spark.conf.set(k, "true")
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
@@ -59,7 +64,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, has a known size."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    with _own_shuffles_only(spark):
+    with _writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

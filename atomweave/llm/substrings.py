@@ -4,8 +4,8 @@ Texts are sequences of words. Anchors are winnowed: of every ``LENGTH - K + 1``
 is kept, so two equal passages of LENGTH words keep the same anchors. Anchors that occur more than once seed the
 search. A seed is extended both ways to every window of LENGTH words whose smallest k-word hash it is; the documents of
 an anchor are joined by their equal windows, and all but the first (smallest document, then position) are repeats. Runs
-of repeated windows merge into maximal repeats, whose words are removed. Windows are equal if two independent 64-bit
-hashes of their words are: among 10^13 windows a false pair has a probability of 10^-13.
+of repeated windows merge into maximal repeats, whose words are removed. Windows are equal if two independent
+hashes of their words, of 64 and 32 bits, are: among 10^13 windows a false pair has a probability below 10^-3.
 
 No pairs are built: a passage in a third of all documents is one group that is reduced to its first place before the
 shuffle, and each document is told only which of its windows come first.
@@ -141,13 +141,14 @@ def _extend(length: int, k: int, with_text: bool):
                     h = _WORDS(words)
                     at = _seeded(h, seeds.values.to_numpy(), length, k)
                     if len(at):
-                        wins, places = tuple(windows(h, length, *c)[at].view(np.int64) for c in ((_MIX, _FOLD), (_MIX2, _FOLD2))), at.astype(np.int64) << 32 | zlib.crc32(data)
+                        other = (windows(h, length, _MIX2, _FOLD2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        wins, places = (windows(h, length)[at].view(np.int64), other), at.astype(np.int64) << 32 | zlib.crc32(data)
                 sha, kept = _sha(words) if wins is None else (None, b"")
                 for col, x in zip(out, (doc_id, n, gone, sha, kept.decode() if with_text and wins is None else None, row, None if wins is None else text, (wins, places)), strict=True):
                     col.append(x)
             lens = np.array([0] + [0 if w is None else len(p) for w, p in out[7]])
             ends = pa.array(np.cumsum(lens), pa.int32())
-            found = [(*w, p) for w, p in out[7] if w is not None] or [(np.zeros(0, np.int64),) * 3]
+            found = [(*w, p) for w, p in out[7] if w is not None] or [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))]
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in zip(*found, strict=True)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=False)), *lists], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "row", "text", "windows", "others", "places"])
@@ -198,13 +199,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text:
     forget(anchors, often, twice)
     is_copy = F.coalesce(F.array_contains("copies", F.col("d")), F.lit(False))
     joined = docs.join(told, "row", "left").select("doc_id", "row", "text", "seeds", is_copy.alias("copy"))
-    found = written(joined.mapInArrow(_extend(length, k, with_text), f"{RESULT}, row long, text string, windows array<long>, others array<long>, places array<long>"), "rep-windows")
+    found = written(joined.mapInArrow(_extend(length, k, with_text), f"{RESULT}, row long, text string, windows array<long>, others array<int>, places array<long>"), "rep-windows")
     forget(told)
     open_ = found.where("text IS NOT NULL")
     each = open_.select("row", F.explode(F.arrays_zip("windows", "others", "places")).alias("w")).select("row", "w.windows", "w.others", "w.places")
     first = each.groupBy("windows", "others").agg(F.min(F.struct("row", "places")).alias("f"))
     firsts = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list("f.places").alias("first"))
-    rest = open_.join(firsts, "row", "left").select("doc_id", "text", "places", "first").mapInArrow(_remove(length, with_text), RESULT)
+    rest = written(open_.join(firsts, "row", "left").select("doc_id", "text", "places", "first").mapInArrow(_remove(length, with_text), RESULT), "rep-removed")
     return found.where("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").unionByName(rest)
 
 

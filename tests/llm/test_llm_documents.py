@@ -149,8 +149,43 @@ def test_quality(spark, docs):
         lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
         want = (len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
-        assert got[d][:5] == want and got[d][10] == failed and got[d][11] == (not failed and got[d][11])
-    assert not quality.accepted(100, 100, 60, 3.0, "LATIN") and quality.accepted(300, 100, 0, 5.0, "LATIN")
+        assert got[d][:5] == want and got[d][10] == failed and not (failed and got[d][11])
+
+
+def quartile_bands(rows, spread=6.0, least=30):
+    """Limits of each figure by class, from whole documents' figures."""
+    classes = collections.defaultdict(list)
+    for r in rows:
+        if not r["base_failed"] and r["n_tokens"] >= 20:
+            classes["en", r["n_tokens"].bit_length() - 1].append(r)
+    out = {}
+    for c, group in classes.items():
+        for name, unit, share, floor in (("chars_per_token", 0.01, 0.005, 0.0), ("token_entropy", 0.01, 0.005, 0.0), ("fallback_share", 0.001, 0.0, 0.02)):
+            v = sorted(int(r[name] / unit + 0.5) for r in group)
+            q1, q2, q3 = (v[max(0, -(-len(v) * k // 4) - 1)] for k in (1, 2, 3))
+            narrow = max(q2 * share, floor / unit)
+            if len(group) >= least:
+                out[c, name] = ((q2 - spread * max(q2 - q1, narrow)) * unit, (q2 + spread * max(q3 - q2, narrow)) * unit)
+    return out
+
+
+def test_quality_verdict_rejects_junk_that_the_base_rules_miss(spark):
+    rng = random.Random(8)
+    known = [w + e for w in WORDS for e in ("", "er", "ing", "ly", "s")]
+    clean = [" ".join(rng.choice(known) for _ in range(rng.randint(105, 125))) for _ in range(160)]
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(40)) for _ in range(8)]
+    junk += [" ".join("".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(9)) for _ in range(20)) for _ in range(8)]
+    texts = clean + junk
+    got = quality.quality(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    limits = quartile_bands(got)
+    assert limits
+    for r in got:
+        inside = [lo - 1e-9 <= r[n] <= hi + 1e-9 for (c, n), (lo, hi) in limits.items() if c == ("en", r["n_tokens"].bit_length() - 1)]
+        assert len(inside) in (0, 3) and (r["doc_id"] < 160 or inside)
+        assert not inside or r["kept"] == (not r["base_failed"] and all(inside))
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert not any(r["base_failed"] for r in got)
+    assert len(kept & set(range(160))) >= 156 and not kept & set(range(160, 176))
 
 
 def test_language(spark):
