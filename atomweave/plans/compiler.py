@@ -185,12 +185,14 @@ def _plan(sources, atoms, rels: list[Relation], outputs: list[Term], endpoints:
     left.remove(first)
     order.append(first)
     df = frames[first]
+    # a conjunct that adds no column and is linked to joined ones only closes a cycle or filters: it comes before the next that widens
     while left:
         def ready(k):
             return [x for x in pending if k in x[2] and x[2] <= {*order, k}]
 
         linked = [k for k in left if ready(k)]
-        open_ = [k for k in linked if k not in semi] or [k for k in linked if all(x[2] <= {*order, k} for x in pending if k in x[2])] or linked
+        closing = [k for k in linked if k in semi and all(x[2] <= {*order, k} for x in pending if k in x[2])]
+        open_ = closing or [k for k in linked if k not in semi] or linked
         k = (open_ or left)[0]
         on = ready(k)
         whole = all(x in on for x in pending if k in x[2])

@@ -134,7 +134,7 @@ class Space:
         """Runs rules, smallest first, until none is left or the budget is spent; up to steps + 1 run, and steps is the most that counts."""
         done = 0
         while True:
-            rule = self._next(lambda t: True)
+            rule = self._next()
             if rule is None:
                 return done
             began = time.monotonic_ns()
@@ -173,7 +173,7 @@ class Space:
     def run_in(self, name: str, steps: int = 10**9) -> int:
         """Runs the rules of a region; sources cannot be named there, and a malformed rule ends the run."""
         part, done = self.region(name), 0
-        while (rule := part._next(lambda t: True)) is not None:
+        while (rule := part._next()) is not None:
             part.facts.remove(rule)
             part._fire(rule_of(rule, scoped_run=True))
             if done >= steps:
@@ -193,9 +193,12 @@ class Space:
             part._merge(r)
         part.lines().write.mode("overwrite").parquet(path)
 
-    def _next(self, allowed: Callable[[Term], bool]) -> Term | None:
-        rules = [t for (_, head), ts in self.facts.index.items() if head == b"exec" for t in ts.values() if allowed(t)]
-        return min(rules, key=key, default=None)
+    def _next(self, allowed: Callable[[Term], bool] | None = None) -> Term | None:
+        """The rule with the least key, of all or of those allowed."""
+        if allowed is None:
+            return self.facts.least_rule()
+        rules = ((k, t) for (_, head), ts in self.facts.index.items() if head == b"exec" for k, t in ts.items() if allowed(t))
+        return min(rules, default=(None, None))[1]
 
     def _fire(self, rule: Rule) -> None:
         patterns = [p for s in rule.sources for p in stored_patterns(s, rule.typed_sources, self.functions)]

@@ -1,9 +1,12 @@
 """Rules in memory: small programs and the facts they leave."""
 
+import itertools
+import random
+
 import pytest
 
 from atomweave.space import Space
-from atomweave.terms import parse, render
+from atomweave.terms import parse, parse_one, render, unify
 
 
 def left(program: str, steps: int = 200) -> set[str]:
@@ -70,6 +73,41 @@ def test_order_is_by_encoding():
     assert order == ["(k)", "(k (k))", "(k 7)", "b", "z", "mm", "late"]  # fewer members first, then shorter symbols
 
 
+def test_next_rule_after_rules_come_and_go():
+    s = Space()
+    s.add("(exec b (,) (, (ran b))) (exec d (,) (, (ran d)))")
+    first = s._next()
+    s.facts.remove(first)
+    s.add("(exec a (,) (, (ran a)))")
+    s.facts.add(first)
+    s.facts.remove(s._next())
+    order = []
+    while (rule := s._next()) is not None:
+        assert rule == s._next(lambda t: True)
+        order.append(render(rule[1]))
+        s.facts.remove(rule)
+    assert order == ["b", "d"] and s._next(lambda t: True) is None
+
+
+@pytest.mark.parametrize("extra", ["", "(road $x 3)", "($x 2 5)"])
+def test_cycles_against_brute_force(extra):
+    """Four-cliques of roads; a fact with variables takes the way without early look-ups."""
+    rng = random.Random(4)
+    roads = {(a, b) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.7}
+    corners = ("$a $b", "$a $c", "$a $d", "$b $c", "$b $d", "$c $d")
+    rule = f"(exec 0 (, {' '.join(f'(road {x})' for x in corners)}) (, (ring $a $b $c $d)))"
+    got = left(" ".join(f"(road {a} {b})" for a, b in roads) + extra + rule)
+    if extra.startswith("(road"):
+        roads |= {(a, 3) for a in range(9)}
+    elif extra:
+        roads.add((2, 5))
+    want = {f"(ring {' '.join(map(str, c))})" for c in itertools.product(range(9), repeat=4) if all(p in roads for p in itertools.combinations(c, 2))}
+    rings = {x for x in got if x.startswith("(ring")}
+    open_ = [parse_one(x) for x in rings if "$" in x]  # each stands for all its instances
+    assert {x for x in rings if "$" not in x} <= want
+    assert all(x in rings or any(unify(parse_one(x), y) is not None for y in open_) for x in want)
+
+
 def test_budget_counts_one_less_than_runs():
     s = Space()
     s.add("(day mon) " + " ".join(f"(exec step{i} (, (day $d)) (, (did {i} $d)))" for i in range(4)))

@@ -26,6 +26,8 @@ PROGRAMS = [
     "(exec 0 (, (e $x $y) (n $x $l) (n $y $l)) (, (same $x $y)))",
     "(exec 0 (, (v $x) (n $x $l)) (, (l (deep $l $x))))",
     "(exec 0 (, (e $x $x)) (, (loop $x)))",
+    "(exec 0 (, (e $x $y) (e $x $z) (e $y $z)) (, (triangle $x $y $z)))",
+    "(exec 0 (, (e $x $y) (e $y $z) (e $z $w) (e $x $z) (e $y $w)) (, (strip $x $y $z $w)))",
     "(exec 0 (, (e 2 $y)) (, (two $y 2 $y)))",
     "(exec 0 (, (v $x) (v $y)) (, (pair $x $y)))",
     "(exec 0 (, (e $x $y)) (O (- (e $x $y)) (+ (was $y $x))))",
