@@ -84,7 +84,8 @@ STAGES = [
     ("mixing", mix_sources),
     ("pieces", encode_pieces),
 ]
-#: Rank-order profiles, sketches and a piece lattice are beyond SQL; the tests hold run() against a brute-force version.
+#: Rank-order profiles, sketches and a piece lattice are beyond SQL; the tests hold run() against outcomes worked out by hand
+#: on small tables, and its operators, through their own queries, against brute force.
 ORACLE_SQL = None
 
 
