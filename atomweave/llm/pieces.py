@@ -11,9 +11,10 @@ merges (81 % of running words are cut alike); no text is learned from.
 
 Pieces never join a word to a blank after it, nor hold a character that no piece has, so the lattice falls apart at
 those places. The Viterbi pass runs once for each distinct chunk between them, for many chunks at a time, and is
-memoised with the loss of the chunk's second best; the best chunks make the best text. Only the N - 1 chunks that lose
-least can differ in one of the N best texts: these are searched, and the N best texts are combined from them. Characters
-without a piece become byte pieces.
+memoised with the least loss of leaving the chunk's best. The search runs over a whole text: a path in its queue has a
+fixed end and takes the best from there to the text's start; where it can still leave that best it goes into the queue
+again. Chunks beyond the N - 1 that lose least are not looked into, as none of the N best leaves its best there.
+Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from heapq import heapify, heappop, heappush, nsmallest
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush, nsmallest
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._common import documents, importable, slices
@@ -34,8 +37,8 @@ BLANK = "▁"
 OFFSET, COST = 10, 3.0
 #: How much worse than the worst piece a character without a piece is.
 UNKNOWN_PENALTY = 10
-#: Lattice cells (chunks x places x lengths) of one group of chunks.
-CELLS = 2_000_000
+#: Chunks that go through the lattice at a time.
+GROUP = 4096
 #: Chunks up to this length go through the lattice in groups, longer ones one by one.
 SHORT = 64
 NONE = -np.inf
@@ -44,7 +47,9 @@ NONE = -np.inf
 class Pieces:
     """A sentencepiece model's pieces as a lattice; a bounded memo of chunks."""
 
-    CAP = 800_000
+    CAP = 200_000
+    #: Characters of the chunks that ``more`` holds.
+    HELD = 200_000
 
     def __init__(self, path: str, n_best: int = 4) -> None:
         import sentencepiece
@@ -69,41 +74,76 @@ class Pieces:
         keys = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in prefixes], np.int64)
         order = keys.argsort()
         self.keys, self.child = keys[order], np.arange(1, len(prefixes) + 1)[order]
+        tops = self.keys < 1 << 21
+        self.root = np.zeros(int(self.keys[tops].max()) + 2, np.int64)
+        self.root[self.keys[tops]] = self.child[tops]
+        self.inner = np.zeros(len(prefixes) + 1, bool)
+        self.inner[self.keys >> 21] = True
         self.ends = np.array([-1] + [self.id.get(p, -1) for p in prefixes], np.int32)
         self.weight = np.array([self.score.get(p, 0.0) for p in self.text])
-        self.longest = max(map(len, self.id))
+        self.starts = {p: self.score.get(p) for p in prefixes}
         plain = "".join(re.escape(c) for c in sorted({c for p in self.id for c in p} - {BLANK}))
+        self.plain = {c for p in self.id for c in p} | {BLANK}
         self.chunks = re.compile(f"{BLANK}*[{plain}]+|{BLANK}+|[^{BLANK}{plain}]").findall
-        self.memo: dict[str, tuple[float, bytes, float]] = {}
-        self.more: dict[str, list[tuple[float, bytes]]] = {}
+        self.odd = re.compile(f"[^{BLANK}{plain}]")
+        # the memo: chunk -> place in the columns below (score, least loss, number of ids and the ids of its best, times met)
+        self.memo: dict[str, int] = {}
+        self.best, self.loss = np.zeros(0), np.zeros(0)
+        self.n, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.begin, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.more: dict[tuple, tuple] = {}
+        self.held = 0
 
     def normal(self, text: str) -> str:
         """Blanks become visible, one more goes in front; nothing else changes."""
         return BLANK + text.replace(" ", BLANK) if text else ""
 
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks of texts: (distinct chunks, which of them each chunk is, number of chunks by text).
+
+        A sign that no text holds is put where ``chunks`` cuts, and Arrow splits there.
+        """
+        texts = [self.normal(t or "") for t in texts]
+        sign = next(x for x in map(chr, chain(range(0x20), range(0xE000, 0xF900), range(0xF0000, 0x110000))) if x not in self.plain and not any(x in t for t in texts))
+        odd = f"{sign}\\g<0>{sign}"
+        marked = [sign.join(self.chunks(t)) if BLANK + BLANK in t else self.odd.sub(odd, t).replace(BLANK, sign + BLANK) for t in texts]
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), sign)
+        row, every = pc.list_parent_indices(lists), lists.flatten()
+        keep = pc.not_equal(every, "")
+        every = every.filter(keep).dictionary_encode()
+        return every.dictionary.to_pylist(), every.indices.to_numpy(), np.bincount(row.filter(keep).to_numpy(), minlength=len(texts))
+
     def edges(self, c: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, starts, piece ids) of all pieces in the characters c; what starts at i ends at stop[i] at the latest."""
         at, node, length = np.arange(len(c)), np.zeros(len(c), np.int64), 0
         while True:
-            inside = at + length < stop[at]
+            inside = (at + length < stop[at]) & self.inner[node]
             at, node = at[inside], node[inside]
             if not len(at):
                 return
-            key = node << 21 | c[at + length]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[i] == key
-            at, node, length = at[known], self.child[i[known]], length + 1
+            if length:
+                key = node << 21 | c[at + length]
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[i] == key
+                at, node = at[known], self.child[i[known]]
+            else:
+                node = self.root[np.minimum(c, len(self.root) - 1)]
+                at, node = at[node > 0], node[node > 0]
+            length += 1
             piece = self.ends[node]
             yield length, at[piece >= 0], piece[piece >= 0]
 
     def lattice(self, s: str) -> tuple[list[float], list[list[tuple[int, str, float]]]]:
         """(best score from the start to each place, pieces that end at each place as (start, piece, score)) of one chunk."""
-        n, score = len(s), self.score
+        n, starts = len(s), self.starts
         ends: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
         if n <= SHORT:
             for i in range(n):
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    w = score.get(p := s[i:j])
+                for j in range(i + 1, n + 1):
+                    w = starts.get(p := s[i:j], 0)
+                    if w == 0 and p not in starts:
+                        break
                     if w is not None:
                         ends[j].append((i, p, w))
         else:
@@ -117,28 +157,66 @@ class Pieces:
             best[j] = max([best[i] + w for i, _, w in ends[j]])
         return best, ends
 
-    def search(self, s: str, n_best: int) -> list[tuple[float, list[str]]]:
-        """The n best segmentations of s, best first: (score, pieces); ties in order of discovery."""
-        n = len(s)
-        best, ends = self.lattice(s)
-        out: list[tuple[float, list[str]]] = []
-        queue: list[tuple] = [(-best[-1], 0, n, 0.0, None)]
-        count = 0
+    def follow(self, lattice: tuple, at: int, path: tuple | None, most: int) -> tuple[bytes, list[tuple[float, int, tuple]]]:
+        """Backward from place ``at`` of a chunk, ``path`` being its pieces from there on, along the best to the start.
+
+        Returns the ids of the whole way and the ways that leave it at a place, as (loss, place, path): the ``most`` that
+        lose least. Of equal ways the one with the shorter last piece is the best.
+        """
+        best, ends = lattice
+        off: list[tuple[float, int, tuple]] = []
+        while at:
+            arcs = sorted([(best[at] - (best[i] + w), -i, p) for i, p, w in ends[at]])
+            off += [(loss, -i, (p, path)) for loss, i, p in arcs[1 : most + 1]]
+            path, at = (arcs[0][2], path), -arcs[0][1]
+        pieces = []
+        while path:
+            pieces.append(path[0])
+            path = path[1]
+        return self.ids(pieces), nsmallest(most, off, key=lambda x: x[0])
+
+    def turns(self, chunk: str, key: tuple[int, ...], at: int, path: tuple | None, most: int) -> tuple[bytes, list[tuple[float, int, tuple]]]:
+        """``follow`` with a memo; key: which way was taken each time that the path so far left the best, last piece first."""
+        got = self.more.get((chunk, most, key))
+        if got is None:
+            self.held += len(chunk)
+            if self.held > self.HELD:
+                self.more.clear()
+                self.held = len(chunk)
+            whole = self.more.get((chunk, most, ()))
+            lattice = whole[2] if whole else self.lattice(chunk)
+            got = self.more[chunk, most, key] = (*self.follow(lattice, at, path, most), None if key else lattice)
+        return got[0], got[1]
+
+    def paths(self, part: Callable[[int], str], loss: np.ndarray, n_best: int) -> list[tuple[float, dict[int, bytes]]]:
+        """The n best paths through the lattice of a text, best first: (score lost, ids of the chunks that leave their best).
+
+        The search runs backward from the end of the text. What is in the queue has a fixed end and takes the best from its
+        place to the start, whose score the forward pass gives exactly; so what leaves the queue first is complete at once,
+        and only the places where it can still leave the best go into the queue. ``part`` gives a chunk by its place in the
+        text, ``loss`` the least that leaving costs in each: chunks beyond the n - 1 least are in none of the n best.
+        """
+        out: list[tuple[float, dict[int, bytes]]] = []
+        most, count = n_best - 1, 0
+        where = range(len(loss)) if len(loss) <= most else np.argpartition(loss, most - 1)[:most].tolist() if most else []
+        where = {i: part(i) for i in sorted(where) if loss[i] < np.inf}
+        queue: list[tuple] = [(0.0, 0, len(loss), (), 0, None, {})]
         while queue and len(out) < n_best:
-            f, _, at, g, path = heappop(queue)
-            if not at:
-                pieces = []
-                while path:
-                    pieces.append(path[0])
-                    path = path[1]
-                out.append((-f, pieces))
-                continue
-            for i, p, w in ends[at]:
+            lost, _, i, key, at, path, used = heappop(queue)
+            off = []
+            if key:
+                ids, off = self.turns(where[i], key, at, path, most)
+                before, used = used, {**used, i: ids}
+                off = [(lost + x, i, (*key, k), j, way, before) for k, (x, j, way) in enumerate(off)]
+            out.append((lost, used))
+            for c, chunk in where.items():
+                if c < i:
+                    off += [(lost + x, c, (k,), j, way, used) for k, (x, j, way) in enumerate(self.turns(chunk, (), len(chunk), None, most)[1])]
+            for x, *way in off:
                 count += 1
-                heappush(queue, (-(g + w + best[i]), count, i, g + w, (p, path)))
+                heappush(queue, (x, count, *way))
             if len(queue) > 4 * n_best:  # every path in the queue ends with the score it promises, so n_best of them are enough
                 queue = nsmallest(n_best - len(out), queue)
-                heapify(queue)
         return out
 
     def ids(self, pieces: list[str]) -> bytes:
@@ -152,139 +230,147 @@ class Pieces:
                 out.extend(self.byte_id.get(b, self.unk) for b in p.encode("utf-8", "replace"))
         return out.tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Puts (score, ids of the best, score lost by the second best) of each chunk into the memo, groups of like length at a time."""
-        for c in chunks:
-            if len(c) > SHORT:
-                self.memo[c] = self._one(c)
-        chunks = sorted([c for c in chunks if len(c) <= SHORT], key=len)
-        at = 0
-        while at < len(chunks):
-            top = len(chunks[at]) + len(chunks[at]) // 4 + 2
-            upto = at + max(1, CELLS // ((top + 1) * self.longest))
-            end = at + 1
-            while end < min(upto, len(chunks)) and len(chunks[end]) <= top:
-                end += 1
-            self._group(chunks[at:end])
-            at = end
-
     def _one(self, chunk: str) -> tuple[float, bytes, float]:
-        """The second best leaves the best somewhere, so it is the best of all ways through a piece that the best doesn't use."""
-        best, ends = self.lattice(chunk)
-        at, path, used = len(chunk), [], set()
-        while at:
-            i, p, _ = next(e for e in ends[at] if best[e[0]] + e[2] == best[at])
-            path.append(p)
-            used.add((i, at))
-            at = i
-        second = NONE
-        if self.n_best > 1:
-            rest = [NONE] * len(chunk) + [0.0]
-            for j in range(len(chunk), 0, -1):
-                for i, _, w in ends[j]:
-                    x = w + rest[j]
-                    if x > rest[i]:
-                        rest[i] = x
-                    if best[i] + x > second and (i, j) not in used:
-                        second = best[i] + x
-        return best[-1], self.ids(path[::-1]), best[-1] - second
-
-    def _group(self, chunks: list[str]) -> None:
-        """What ``_one`` does, for many chunks at a time."""
+        """(score, ids of the best, least that leaving it costs) of one chunk."""
+        lattice = self.lattice(chunk)
+        ids, off = self.follow(lattice, len(chunk), None, 1)
+        return lattice[0][-1], ids, off[0][0] if off else np.inf
+
+    def _group(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``_one`` gives, for many chunks at a time: (scores, losses, numbers of ids, ids one after the other).
+
+        Pieces that start at the same place of their chunks end at different places, so all of them go at once.
+        """
         n, lens = len(chunks), np.array([len(c) for c in chunks])
-        width, most, rows = int(lens[-1]), self.longest, np.arange(len(chunks))
         c = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         first = np.cumsum(lens) - lens
-        row = np.repeat(rows, lens)
-        place = np.arange(len(c)) - first[row]
-        # w and piece: by row, end and length of a piece
-        w, piece = np.full((n, width + 1, most), NONE), np.full((n, width + 1, most), -1, np.int32)
-        w[row, place + 1, 0] = self.unknown
-        for length, start, which in self.edges(c, (first + lens)[row]):
-            w[row[start], place[start] + length, length - 1] = self.weight[which]
-            piece[row[start], place[start] + length, length - 1] = which
-        best, back = np.full((n, width + 1), NONE), np.zeros((n, width + 1), np.int64)
-        best[:, 0] = 0
-        for j in range(1, width + 1):
-            m = min(most, j)
-            ways = best[:, j - m : j][:, ::-1] + w[:, j, :m]
-            back[:, j] = k = ways.argmax(1)
-            best[:, j] = ways[rows, k]
-        total = best[rows, lens]
-        rest = np.full((n, width + 1), NONE)
-        rest[rows, lens] = 0
-        if self.n_best > 1:
-            for j in range(width, 0, -1):
-                m = min(most, j)
-                before = rest[:, j - m : j][:, ::-1]
-                np.maximum(before, w[:, j, :m] + rest[:, j : j + 1], out=before)
-        path, at, on = [], lens.copy(), rows
+        row = np.repeat(np.arange(n), lens)
+        got = list(self.edges(c, (first + lens)[row]))
+        lone = np.ones(len(c), bool)
+        lone[got[0][1] if got else []] = False  # characters without a piece
+        lone = np.flatnonzero(lone)
+        start = np.concatenate([lone, *(at for _, at, _ in got)])
+        which = np.concatenate([np.full(len(lone), -1, np.int32), *(k for _, _, k in got)])
+        length = np.repeat([1, *(x for x, _, _ in got)], [len(lone), *(len(at) for _, at, _ in got)])
+        place = (start - first[row[start]]).astype(np.uint8)
+        order = place.argsort(kind="stable")
+        start, which, length = start[order], which[order], length[order]
+        src = start + row[start]  # a chunk has one place more than characters
+        dst = src + length
+        w = np.where(which < 0, self.unknown, self.weight[which])
+        best, second, back = (np.full(len(c) + n, x, t) for x, t in ((NONE, float), (NONE, float), (-1, np.int64)))
+        origin = first + np.arange(n)
+        best[origin] = 0.0
+        at = 0
+        for end in np.cumsum(np.bincount(place)).tolist():
+            to = dst[at:end]
+            new, old = best[src[at:end]] + w[at:end], best[to]
+            better = new >= old
+            second[to] = np.maximum(second[to], np.where(better, old, new))
+            best[to] = np.where(better, new, old)
+            back[to[better]] = np.flatnonzero(better) + at
+            at = end
+        last = origin + lens
+        gap, loss = best - second, np.full(n, np.inf)
+        on, at, steps = np.arange(n), last, []
         while len(on):
-            k = back[on, at[on]]
-            path.append((on, at[on] - k - 1, piece[on, at[on], k]))
-            w[on, at[on], k] = NONE  # used by the best
-            at[on] -= k + 1
-            on = on[at[on] > 0]
-        second = np.full(n, NONE)
-        if self.n_best > 1:
-            for j in range(1, width + 1):
-                m = min(most, j)
-                np.maximum(second, (best[:, j - m : j][:, ::-1] + w[:, j, :m]).max(1) + rest[:, j], out=second)
-        on, start, ids = (np.concatenate([p[i] for p in path]) for i in range(3))
-        order = np.lexsort((start, on))
-        odd = set(on[ids < 0].tolist())
-        data, ends = ids[order].astype(np.int32).tobytes(), (np.cumsum(np.bincount(on, minlength=n)) * 4).tolist()
-        begin = 0
-        for i, (chunk, score, loss, end) in enumerate(zip(chunks, total.tolist(), (total - second).tolist(), ends, strict=True)):
-            self.memo[chunk] = (score, self.ids(self.search(chunk, 1)[0][1]) if i in odd else data[begin:end], loss)
-            begin = end
-
-    def others(self, c: str) -> list[tuple[float, bytes]]:
-        """The next best encodings of a chunk, best first."""
-        got = self.more.get(c)
-        if got is None:
-            if len(self.more) >= self.CAP // 8:
-                self.more.clear()
-            first = self.memo[c][1]
-            got = self.more[c] = [x for x in ((s, self.ids(p)) for s, p in self.search(c, self.n_best)) if x[1] != first][: self.n_best - 1]
-        return got
-
-    def parts(self, texts: list[str | None]) -> list[list[str]]:
-        """The chunks of each text, all of them in the memo."""
-        out = [self.chunks(self.normal(t or "")) for t in texts]
-        every = set().union(*out)
-        new = [c for c in every if c not in self.memo]
-        if len(self.memo) + len(new) > self.CAP:
-            self.memo.clear()
-            new = list(every)
-        self.learn(new)
-        return out
+            loss[on] = np.minimum(loss[on], gap[at])
+            e = back[at]
+            steps.append((on, which[e]))
+            at = src[e]
+            more = at != origin[on]
+            on, at = on[more], at[more]
+        on, ids = (np.concatenate([x[i] for x in steps[::-1]]) for i in range(2))
+        order = on.astype(np.uint16).argsort(kind="stable")
+        return best[last], loss, np.bincount(on, minlength=n), ids[order]
 
-    def ways(self, parts: list[str]) -> tuple[list[tuple], float, list[tuple[float, dict[int, tuple[float, bytes]]]]]:
-        """(chunks, score of the best, n best as (score lost, chunks that take another encoding than their best))."""
-        memo = self.memo
-        got = [memo[c] for c in parts]
-        ways: list[tuple[float, dict]] = [(0.0, {})]
-        if self.n_best > 1 and got:
-            # only the chunks that lose least can be changed in one of the n best
-            loss = np.array([g[2] for g in got])
-            k = min(self.n_best - 1, len(got))
-            where = np.argpartition(loss, k - 1)[:k] if k < len(loss) else range(len(loss))
-            for i in sorted(int(i) for i in where if loss[i] < float("inf")):
-                base = got[i][0]
-                more = [(lost + base - x[0], {**used, i: x}) for lost, used in ways for x in self.others(parts[i])]
-                ways = nsmallest(self.n_best, ways + more, key=lambda x: x[0])
-        return got, sum([g[0] for g in got]), ways
+    def learn(self, chunks: list[str]) -> None:
+        """Puts score, least loss and ids of each chunk's best into the memo."""
+        short = [c for c in chunks if len(c) <= SHORT]
+        for at in range(0, len(short), GROUP):
+            group = short[at : at + GROUP]
+            score, loss, n, ids = self._group(group)
+            odd = set(np.repeat(np.arange(len(group)), n)[ids < 0].tolist())
+            if odd:
+                ends = np.cumsum(n)
+                single = [np.frombuffer(self._one(c)[1], np.int32) if i in odd else ids[e - k : e] for i, (c, e, k) in enumerate(zip(group, ends.tolist(), n.tolist(), strict=True))]
+                n, ids = np.array([len(x) for x in single]), np.concatenate(single)
+            self._keep(group, score, loss, n, ids)
+        for c in chunks:
+            if len(c) > SHORT:
+                score, ids, loss = self._one(c)
+                self._keep([c], np.array([score]), np.array([loss]), np.array([len(ids) // 4]), np.frombuffer(ids, np.int32))
+
+    def _keep(self, chunks: list[str], score: np.ndarray, loss: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        self.memo.update(zip(chunks, range(len(self.memo), len(self.memo) + len(chunks)), strict=True))
+        self.new.append((score, loss, n, ids))
+
+    def _settle(self) -> None:
+        """Columns of the memo, with what was learned since."""
+        if self.new:
+            score, loss, n, ids = (np.concatenate([x[i] for x in ((self.best, self.loss, self.n, self.flat), *self.new)]) for i in range(4))
+            self.best, self.loss, self.n, self.flat = score, loss, n.astype(np.int32), ids.astype(np.int32)
+            self.hits = np.concatenate([self.hits, np.zeros(len(score) - len(self.hits), np.int64)])
+            self.begin, self.new = np.cumsum(self.n, dtype=np.int64) - self.n, []
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the chunks ``at``, one after the other."""
+        n = self.n[at].astype(np.int64)
+        return self.flat[np.arange(n.sum()) + np.repeat(self.begin[at] - (np.cumsum(n) - n), n)]
+
+    def _shrink(self) -> None:
+        """Half of the memo goes: the chunks met least often, older meetings counting less."""
+        names = list(self.memo)
+        at = np.sort(np.argpartition(-self.hits, self.CAP // 2)[: self.CAP // 2]) if len(names) > self.CAP // 2 else np.arange(len(names))
+        flat = self._gather(at)
+        self.best, self.loss, self.n, self.hits, self.flat = self.best[at], self.loss[at], self.n[at], self.hits[at] // 2, flat
+        self.begin = np.cumsum(self.n, dtype=np.int64) - self.n
+        self.memo = {names[i]: k for k, i in enumerate(at.tolist())}
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where the memo has each of the chunks, which are distinct; what it lacks is learned."""
+        at = list(map(self.memo.get, chunks))
+        new = [c for c, i in zip(chunks, at, strict=True) if i is None]
+        if len(self.memo) + len(new) > self.CAP and self.memo:
+            self._shrink()
+            new = [c for c in chunks if c not in self.memo]
+        if new:
+            self.learn(new)
+            self._settle()
+            at = list(map(self.memo.__getitem__, chunks))
+        return np.array(at, np.int64)
+
+    def batch(self, texts: list[str | None], n_best: int) -> Iterator[tuple[float, np.ndarray, list[tuple[float, dict[int, bytes]]], np.ndarray]]:
+        """For each text (score of the best, its ids, its paths as of ``paths``, numbers of ids of its chunks)."""
+        names, which, count = self.cut(texts)
+        places = self.places(names)
+        self.hits[places] += np.bincount(which, minlength=len(names))
+        at = places[which]
+        ids, n, loss, score = self._gather(at), self.n[at], self.loss[at], self.best[at]
+        stop = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        j = 0
+        for k in count.tolist():
+            i, j = j, j + k
+            own = which[i:j]
+            yield float(score[i:j].sum()), ids[stop[i] : stop[j]], self.paths(lambda x, own=own: names[own[x]], loss[i:j], n_best), n[i:j]
+
+    def search(self, s: str, n_best: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of s, blanks being visible, best first: (score, ids as int32 bytes); ties in order of discovery."""
+        parts = self.chunks(s)
+        names = list(dict.fromkeys(parts))
+        place = dict(zip(names, self.places(names).tolist(), strict=True))
+        at = np.array([place[c] for c in parts], np.int64)
+        total, every = float(self.best[at].sum()), [self._gather(at[i : i + 1]).tobytes() for i in range(len(at))]
+        return [(total - lost, b"".join([used.get(i, x) for i, x in enumerate(every)])) for lost, used in self.paths(parts.__getitem__, self.loss[at], n_best)]
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The n best encodings of a text, best first: (score, ids as int32 bytes)."""
-        got, total, ways = self.ways(self.parts([text])[0])
-        return [(total - lost, b"".join([used[i][1] if i in used else g[1] for i, g in enumerate(got)])) for lost, used in ways]
+        return self.search(self.normal(text), self.n_best)
 
     def decode(self, ids: bytes) -> str:
         """The text of piece ids; bytes are joined before they are read."""
         raw = self.raw
-        out = b"".join([raw[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode("utf-8", "replace")
+        out = b"".join(map(raw.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace")
         return out[1:] if out[:1] == " " else out
 
 
@@ -311,14 +397,13 @@ def encode(docs: DataFrame, vocabulary: str, n_best: int = 4) -> DataFrame:
         for b in slices(batches):
             best, n, score, scores, tokens, crc, ok = [], [], [], [], [], [], []
             texts = b.column(b.num_columns - 1).to_pylist()
-            for t, parts in zip(texts, model.parts(texts), strict=True):
-                got, total, ways = model.ways(parts)
-                ids = b"".join([g[1] for g in got])
+            for t, (total, got, ways, lens) in zip(texts, model.batch(texts, n_best), strict=True):
+                ids = got.tobytes()
                 best.append(ids)
-                n.append(len(ids) // 4)
+                n.append(len(got))
                 score.append(total)
                 scores.append([total - lost for lost, _ in ways[1:]])
-                tokens.append([(len(ids) + sum(len(x[1]) - len(got[i][1]) for i, x in used.items())) // 4 for _, used in ways[1:]])
+                tokens.append([len(got) + sum(len(x) // 4 - int(lens[i]) for i, x in used.items()) for _, used in ways[1:]])
                 crc.append(zlib.crc32(ids))
                 ok.append(model.decode(ids) == (t or ""))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(best), np.int32)))

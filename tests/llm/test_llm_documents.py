@@ -359,6 +359,34 @@ def test_pieces_are_the_n_best():
         assert all(m.decode(i) == s for _, i in m.encode(s))
 
 
+def test_the_n_best_of_a_text_leave_one_queue(monkeypatch):
+    m, pops = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 5), []
+    monkeypatch.setattr(pieces, "heappop", lambda q, pop=pieces.heappop: pops.append(pop(q)) or pops[-1])
+    for s in ("of a to", "a\nat", "ña  in"):
+        want = sorted((x for x, _ in segmentations(m, m.normal(s))), reverse=True)[:5]
+        m.encode(s)
+        pops.clear()
+        got = m.encode(s)  # all chunks are known, still the best comes from the search over the whole text
+        assert [x for x, _ in got] == pytest.approx(want) and len(pops) == len(want)
+        assert len({i for _, i in got}) == len(want) and all(m.decode(i) == s for _, i in got)
+    texts = [None, "", "a\x00b \x01", "of a to", "  a\t b", "▁ ▁▁a", "日本 ☃x"]
+    for t, (total, ids, ways, lens) in zip(texts, m.batch(texts, 5), strict=True):
+        want = m.encode(t or "")
+        assert [total - x for x, _ in ways] == pytest.approx([x for x, _ in want] or [0]) and int(lens.sum()) == len(ids)
+        assert ids.tobytes() == (want[0][1] if want else b"")
+
+
+def test_memo_of_pieces_stays_small_and_keeps_what_is_frequent():
+    m, free = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    m.CAP, m.HELD = 60, 300
+    texts = [f"the of x{i * i:x} y{i * 7:o} {'ab' * (i % 40)}" for i in range(200)]
+    for at in range(0, len(texts), 8):
+        for t, (total, ids, ways, _) in zip(texts[at : at + 8], m.batch(texts[at : at + 8], 4), strict=True):
+            want = free.encode(t)
+            assert (ids.tobytes(), [total - x for x, _ in ways]) == (want[0][1], pytest.approx([x for x, _ in want]))
+        assert len(m.memo) <= m.CAP and "▁the" in m.memo and sum(len(c) for c, *_ in m.more) <= m.HELD + 80
+
+
 def test_pieces_round_trip(spark, docs):
     out = pieces.encode(frame(spark, docs), public_tokenizers.path("piece_bpe_32k.model"))
     assert out.where("NOT decodes").count() == 0 and out.count() == len(docs)
