@@ -48,8 +48,8 @@ class Pieces:
     """A sentencepiece model's pieces as a lattice; a bounded memo of chunks."""
 
     CAP = 200_000
-    #: Characters of the chunks that ``more`` holds.
-    HELD = 200_000
+    #: Characters of the chunks that ``more`` holds, and of those whose lattices are kept for the ways searched next.
+    HELD, OPEN = 100_000, 2_000
 
     def __init__(self, path: str, n_best: int = 4) -> None:
         import sentencepiece
@@ -93,6 +93,7 @@ class Pieces:
         self.begin, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.new: list[tuple[np.ndarray, ...]] = []
         self.more: dict[tuple, tuple] = {}
+        self.open: dict[str, tuple] = {}
         self.held = 0
 
     def normal(self, text: str) -> str:
@@ -183,10 +184,13 @@ class Pieces:
             if self.held > self.HELD:
                 self.more.clear()
                 self.held = len(chunk)
-            whole = self.more.get((chunk, most, ()))
-            lattice = whole[2] if whole else self.lattice(chunk)
-            got = self.more[chunk, most, key] = (*self.follow(lattice, at, path, most), None if key else lattice)
-        return got[0], got[1]
+            lattice = self.open.get(chunk)
+            if lattice is None:
+                if sum(map(len, self.open)) + len(chunk) > self.OPEN:
+                    self.open.clear()
+                lattice = self.open[chunk] = self.lattice(chunk)
+            got = self.more[chunk, most, key] = self.follow(lattice, at, path, most)
+        return got
 
     def paths(self, part: Callable[[int], str], loss: np.ndarray, n_best: int) -> list[tuple[float, dict[int, bytes]]]:
         """The n best paths through the lattice of a text, best first: (score lost, ids of the chunks that leave their best).

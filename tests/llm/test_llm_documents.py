@@ -387,6 +387,13 @@ def test_memo_of_pieces_stays_small_and_keeps_what_is_frequent():
         assert len(m.memo) <= m.CAP and "▁the" in m.memo and sum(len(c) for c, *_ in m.more) <= m.HELD + 80
 
 
+def test_few_lattices_of_pieces_are_held():
+    m = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for i in range(400):
+        m.encode(f"the of x{i * i:x} y{i * 7:o} number{i}")
+    assert sum(map(len, m.open)) <= m.OPEN and all(len(x) == 2 for x in m.more.values())
+
+
 def test_pieces_round_trip(spark, docs):
     out = pieces.encode(frame(spark, docs), public_tokenizers.path("piece_bpe_32k.model"))
     assert out.where("NOT decodes").count() == 0 and out.count() == len(docs)
