@@ -21,10 +21,12 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
@@ -196,7 +198,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.model, self.memo, self.parts = self.t.model, {}, {}
+        self.model, self.memo, self.old, self.parts = self.t.model, {}, {}, {}
         rule = json.loads(self.t.to_str())
         splits = [x for x in rule["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
@@ -210,28 +212,48 @@ class WordEncoder:
         if got is None:
             if len(self.parts) >= self.CAP:
                 self.parts.clear()
-            got = self.parts[p] = np.array([x.id for x in self.model.tokenize(p if p.isascii() else p.translate(self.level))], "<u4").tobytes()
+            got = self.parts[p] = array("I", [x.id for x in self.model.tokenize(p if p.isascii() else p.translate(self.level))]).tobytes()
         return got
 
-    def word(self, w: bytes) -> bytes:
-        s = w.decode()
-        if self.PLAIN.fullmatch(s) and "<|" not in s:
-            return b"".join([self.part(p) for p in self.split(s.lower())])
-        return np.array(self.t.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    def word(self, w: str) -> bytes:
+        if w.isalpha() and w.isascii():  # the file's pattern leaves it whole
+            return self.part(w.lower())
+        if self.PLAIN.fullmatch(w) and "<|" not in w:
+            return b"".join(map(self.part, self.split(w.lower())))
+        return array("I", self.t.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the words, which are distinct. The memo has two parts of CAP
+
+        words: when the new one is full, it becomes the old one, whose words come back as they are met."""
+        if len(self.memo) + len(words) > self.CAP:
+            self.old, self.memo = self.memo, {}
+        memo, out = self.memo, list(map(self.memo.get, words))
+        for i, got in enumerate(out):
+            if got is None:
+                w = words[i]
+                got = self.old.get(w)
+                out[i] = memo[w] = self.word(w) if got is None else got
+        return out
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, where those of each text end); Arrow parts the words and tells which are distinct."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        row, every = pc.list_parent_indices(lists), lists.flatten()
+        keep = pc.not_equal(every, "")
+        every = every.filter(keep).dictionary_encode()
+        got = self.words(every.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, n = np.frombuffer(b"".join(got), "<u4"), np.array([len(x) // 4 for x in got], np.int64)
+        which = every.indices.to_numpy()
+        begin, n = (np.cumsum(n) - n)[which], n[which]
+        stop = np.cumsum(n)
+        ids = flat[np.arange(n.sum()) + np.repeat(begin - (stop - n), n)]
+        count = np.bincount(row.filter(keep).to_numpy(), minlength=len(texts))
+        return ids, np.concatenate([[0], stop])[np.cumsum(count)]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian uint32."""
-        words, memo = text.encode("utf-8", "replace").split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        if len(memo) > self.CAP:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.word(w)
-        return b"".join([memo[w] for w in words])
+        return self.batch(pa.array([text.encode("utf-8", "replace").decode()]))[0].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -257,17 +279,20 @@ def write_shards(docs: DataFrame, tokenizer: str, target: str, end_id: int = 1,
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
     def write(batches):
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         fs, base = pafs.FileSystem.from_uri(target)
         fs.create_dir(base, recursive=True)
         shard = w = None
         for b in slices(batches):
-            for doc_id, text, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            ids, stops = enc.batch(b.column(1))
+            start = 0
+            for doc_id, stop, at in zip(b.column(0).to_pylist(), stops.tolist(), b.column(2).to_pylist(), strict=True):
                 if w is None:
                     shard, tmp = at, f"{base}/.part-{at:06d}-{xxhash.xxh3_64_hexdigest(str(id(b)) + str(np.random.default_rng().integers(2**62)))}"
                     stream = fs.open_output_stream(tmp)
                     w = Writer(stream)
-                w.add(key_of(doc_id), np.frombuffer(enc(text or "") + end, "<u4"))
+                w.add(key_of(doc_id), np.concatenate([ids[start:stop], end]))
+                start = stop
         if w is not None:
             w.close()
             stream.close()

@@ -312,6 +312,23 @@ def test_plain_words_encode_like_the_library():
     assert len(words) > 1500 and not wrong
 
 
+def test_texts_of_a_batch_encode_like_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), sstable.WordEncoder(path)
+    e.CAP = 50
+    texts = [None, "", " ", "  a\tb\x0bc\x0cd\re\x1cf\x85g\xa0h i ", "<|endoftext|> x", "aƏb ñ", "日本 ☃", "abc" * 900] + [f"the word{i} x{i * i:x}, it's" for i in range(200)]
+    for at in range(0, len(texts), 7):
+        part, start = texts[at : at + 7], 0
+        ids, stops = e.batch(pa.array(part, pa.string()))
+        for text, stop in zip(part, stops.tolist(), strict=True):
+            assert ids[start:stop].tolist() == t.encode(text or "", add_special_tokens=False).ids
+            start = stop
+        assert len(e.memo) + len(e.old) <= 2 * e.CAP and start == len(ids)
+
+
 def test_table_blocks_and_damage(tmp_path):
     import pyarrow.fs as pafs
 
