@@ -113,7 +113,7 @@ class Pieces:
         row, every = pc.list_parent_indices(lists), lists.flatten()
         keep = pc.not_equal(every, "")
         every = every.filter(keep).dictionary_encode()
-        return every.dictionary.to_pylist(), every.indices.to_numpy(), np.bincount(row.filter(keep).to_numpy(), minlength=len(texts))
+        return every.dictionary.to_numpy(zero_copy_only=False).tolist(), every.indices.to_numpy(), np.bincount(row.filter(keep).to_numpy(), minlength=len(texts))
 
     def edges(self, c: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, starts, piece ids) of all pieces in the characters c; what starts at i ends at stop[i] at the latest."""
