@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql.types import IntegralType
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: dict[str, str] = {}
+#: Bytes for a file of a table whose size has a known bound.
+FILE_BYTES = 4 << 20
 #: While a table is written: shuffle files go when the write has ended, and batches of texts stay small in the workers.
 _WRITING = {
     "spark.sql.shuffleDependency.fileCleanup.enabled": "true",
@@ -60,9 +63,15 @@ def _writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors, has a known size."""
+def written(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors, has a known size.
+
+    most: bytes that its rows come to at most, or nearly so. The table then has no more files than that needs: a file costs more than
+    a few rows, on a local disk two processes that the executor starts to set rights.
+    """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(1, math.ceil(most / FILE_BYTES)))
     path = fresh_path(spark, tag)
     with _writing(spark):
         df.write.parquet(path)

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
     n_slots = max(1, math.ceil(sum(r["n"] for r in stats) / BUCKET_ROWS))
     copies = copies.withColumn("slot", F.when(F.col("finish") <= 1.0, F.floor(F.least(F.col("finish"), F.lit(1.0)) * n_slots)).otherwise(F.lit(n_slots + 1)))
     copies = copies.withColumn("w", F.when(F.col("runs"), F.col("size")).otherwise(F.lit(0))).withColumn("salt", F.when(F.col("runs"), F.lit(0)).otherwise(F.pmod("h", F.lit(n_slots)) + 1))
-    copies = written(copies.select("doc_id", "source", "size", "sid", "source_size", "target", "b", "rn", "h", "e", "runs", "finish", "slot", "w", "salt"), "mix-queue")
+    copies = written(copies.select("doc_id", "source", "size", "sid", "source_size", "target", "b", "rn", "h", "e", "runs", "finish", "slot", "w", "salt"), "mix-queue", sum(r["n"] for r in stats) * max_epochs * 120)
     slots = copies.groupBy("slot").agg(F.sum("w").alias("sw"))
     slots = slots.select("slot", (F.sum("sw").over(Window.orderBy("slot")) - F.col("sw")).alias("ahead"))
     queue = Window.partitionBy("slot", "salt").orderBy("finish", "h", "doc_id", "sid", "b", "rn", "e")

@@ -189,57 +189,60 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     importable(spark)
     docs = integer_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = written(docs.mapInArrow(_sets(width), "doc_id long, n long, f1 long, f2 long, regs binary"), "sets")
-    n_sets = sets.count()
+    n_sets, words = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     full = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", n_sets * 40)
     # the id is a key as well, so the copies of a class don't meet
     of_rep = (full["f1"] == classes["f1"]) & (full["f2"] == classes["f2"]) & (full["doc_id"] == classes["rep"])
     reps = full.join(classes, of_rep).select(F.col("rep").alias("id"), "n", "regs")
-    reps = written(reps.dropDuplicates(["id", "n", "regs"]), "reps")
+    reps = written(reps.dropDuplicates(["id", "n", "regs"]), "reps", n_sets * 300)
     rows = reps.select("id", "regs").mapInArrow(_band_rows, "id long, key long")
     n_rows = reps.count() * BANDS
     buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("tail")).where("lead < tail")
-    buckets = written(buckets.drop("tail"), "buckets")
-    members = written(spread_join(rows, buckets, ["key"], "size", n_rows), "members")
+    buckets = written(buckets.drop("tail"), "buckets", n_rows * 12)
+    members = written(spread_join(rows, buckets, ["key"], "size", n_rows), "members", n_rows * 32)
+    n_members = members.count()
     ids = members.select("id").distinct()
     chosen = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    full_sets = written(chosen.mapInArrow(_set_bytes(width), "id long, s binary").dropDuplicates(), "full-sets")
+    full_sets = written(chosen.mapInArrow(_set_bytes(width), "id long, s binary").dropDuplicates(), "full-sets", words * 8 + n_sets * 16)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are links: estimate first, then the full sets."""
+        size = pairs.count() * 600
         for side in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}")), side)
-        likely = written(pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long"), "likely")
+        likely = written(pairs.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long"), "likely", size)
+        size = likely.count() * (16 + 16 * words // max(1, n_sets))
         out = likely
         for side in ("a", "b"):
             out = out.join(full_sets.select(F.col("id").alias(side), F.col("s").alias(f"s{side}")), side)
-        out = written(out.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+        out = written(out.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links", size)
         forget(likely)
         return out
 
     # a doc_id with several texts is in several classes
     several = full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("doc_id")
     same = full.join(several, "doc_id", "left_semi").select("doc_id", "f1", "f2").distinct().join(classes, ["f1", "f2"]).where("doc_id <> rep")
-    tried = written(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    tried = written(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried", n_members * 16)
     links = confirm(tried).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    links = written(links, "links")
+    links = written(links, "links", (n_members + n_sets) * 16)
     labels = components(links)
 
     # what the leads have not joined
-    named = written(members.join(labels, "id", "left").select("key", "id", "size", "lead", F.coalesce("component", "id").alias("label")), "named")
+    named = written(members.join(labels, "id", "left").select("key", "id", "size", "lead", F.coalesce("component", "id").alias("label")), "named", n_members * 40)
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    apart = written(spread_join(named, written(mixed, "mixed"), ["key"], "n", n_rows), "apart")
+    apart = written(spread_join(named, written(mixed, "mixed", n_members * 8), ["key"], "n", n_rows), "apart", n_members * 48)
     small, large = apart.where(F.col("size") <= SMALL_BUCKET), apart.where(F.col("size") > SMALL_BUCKET)
     left = small.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
     right = small.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
     pairs = left.join(right, "key").where("a < b AND la <> lb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs", apart.count() * SMALL_BUCKET * 8)
     links = links.unionByName(confirm(pairs))
     if not large.isEmpty():
         links = links.unionByName(_large(large, full_sets, percent))
     final = components(links)
     known = classes.join(final, classes["rep"] == final["id"], "left").select("f1", "f2", "copies", "rep", F.coalesce("component", "rep").alias("class"))
-    told = written(known.where("copies > 1 OR class <> rep").drop("rep"), "told")  # any other row is its own component
+    told = written(known.where("copies > 1 OR class <> rep").drop("rep"), "told", n_sets * 40)  # any other row is its own component
     forget(members, named, apart, full_sets, reps, buckets, tried, pairs, classes)
     out = spread_join(sets.select("doc_id", "n", "f1", "f2"), told, ["f1", "f2"], "copies", n_sets, "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
@@ -248,11 +251,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _large(large: DataFrame, full_sets: DataFrame, percent: int) -> DataFrame:
     """Links that span the different components of large buckets: overlapping buckets are one group, compared block by block."""
-    groups = components(large.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    of = written(large.select("id", "label").distinct().join(groups, "id").select("id", "label", F.col("component").alias("g")), "grouped")
+    n = large.count()
+    led = written(large.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "led", n * 16)
+    groups = components(led)
+    of = written(large.select("id", "label").distinct().join(groups, "id").select("id", "label", F.col("component").alias("g")), "grouped", n * 24)
     counts = of.groupBy("g").agg(F.count("*").alias("size"))
-    dealt = spread_join(of, written(counts, "sizes"), ["g"], "size", of.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = written(dealt.select("id", "label", "g", "k", "blocks"), "dealt")
+    dealt = spread_join(of, written(counts, "sizes", n * 16), ["g"], "size", of.count()).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = written(dealt.select("id", "label", "g", "k", "blocks"), "dealt", n * 32)
     meet = dealt.join(full_sets, "id").select("id", "label", "s", "g", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     meet = meet.select("id", "label", "s", "g", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
 
@@ -261,7 +266,7 @@ def _large(large: DataFrame, full_sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     out = written(meet.groupBy("g", "i", "j").applyInArrow(run, "a long, b long"), "links")
-    forget(of, dealt)
+    forget(of, dealt, led)
     return out
 
 

@@ -168,25 +168,26 @@ def bootstrap(docs: DataFrame) -> DataFrame:
     each = lean.select("doc_id", "h", F.explode(F.concat(mark(F.col("pii_base"), True), mark(F.col("pii_other"), False))).alias("o"))
     patterns_of = F.explode(_words(F.col("o.left"), F.col("o.right"))).alias("ctx")
     seen = written(each.select("doc_id", "h", "o.k", "o.s", "o.e", "o.v", patterns_of, "o.seed"), "pii-seen")
+    size = seen.count() * 200
     edges = seen.groupBy("k", "ctx", "v").agg(F.count("*").alias("c"), F.max("seed").alias("seed"), F.min("seed").alias("closed"))
     # only contexts that several seeds share, or that hold a look-alike beside one, can matter
     wide = edges.groupBy("k", "ctx").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("closed").alias("closed")).where(F.col("n") >= LEAST_SUPPORT)
-    wide = written(wide, "pii-patterns")
+    wide = written(wide, "pii-patterns", size)
     # where seeds alone stand there is nothing to find, so the share plays no part
     totals = _occurrences(docs, wide.where("NOT closed").select("ctx").distinct())
-    patterns = written(wide.join(totals, "ctx", "left").select("k", "ctx", F.greatest("c", F.coalesce("t", F.lit(0))).alias("total")), "pii-totals")
-    graph = written(edges.join(patterns, ["k", "ctx"]).select("k", "ctx", "v", "c", "seed", "total"), "pii-graph")
+    patterns = written(wide.join(totals, "ctx", "left").select("k", "ctx", F.greatest("c", F.coalesce("t", F.lit(0))).alias("total")), "pii-totals", size)
+    graph = written(edges.join(patterns, ["k", "ctx"]).select("k", "ctx", "v", "c", "seed", "total"), "pii-graph", size)
     score = graph.groupBy("k", "v").agg(F.max(F.col("seed").cast("double")).alias("r"))
     good = None
     for _ in range(ROUNDS):
         filled = graph.join(score, ["k", "v"]).groupBy("k", "ctx").agg(F.sum(F.col("c") * F.col("r")).alias("x"), F.max("total").alias("total"), F.sum((F.col("r") >= LEAST_INSTANCE).cast("int")).alias("n"))
-        good = written(filled.where(F.col("n") >= LEAST_SUPPORT).select("k", "ctx", (F.col("x") / (F.col("total") + 1)).alias("p")), "pii-scores")
+        good = written(filled.where(F.col("n") >= LEAST_SUPPORT).select("k", "ctx", (F.col("x") / (F.col("total") + 1)).alias("p")), "pii-scores", size)
         miss = F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))
         score = graph.join(good, ["k", "ctx"]).groupBy("k", "v").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - miss).alias("r"))
-        score = written(score, "pii-instances")
+        score = written(score, "pii-instances", size)
     sure = good.where(F.col("p") >= LEAST_PATTERN).select("k", "ctx")
     hits = seen.where(~F.col("seed") | (F.col("k") == SECRET)).join(sure, ["k", "ctx"], "left_semi").join(score.where(F.col("r") >= LEAST_INSTANCE).select("k", "v"), ["k", "v"], "left_semi")
-    out = written(hits.select("doc_id", "h", "k", "s", "e").distinct(), "pii-found")
+    out = written(hits.select("doc_id", "h", "k", "s", "e").distinct(), "pii-found", size)
     forget(seen, graph, wide, patterns)
     return out
 

@@ -35,17 +35,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Different texts under one doc_id, and texts without one, are documents of their own: the text whose hash is least
     keeps the doc_id, the others are numbered above all ids by their hash. Of rows that repeat doc_id and text the least stays.
     """
-    digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    digest, n = F.xxhash64(F.coalesce(docs["text"], F.lit(""))), docs.count()
     keyed = _packed(docs, id=docs["doc_id"].cast("long"), h=digest)
-    counts = written(keyed.groupBy("id", "h").agg(F.count("*").alias("n")), "dup-ids")
-    several = written(counts.where("id IS NOT NULL").groupBy("id").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "dup-several")
+    counts = written(keyed.groupBy("id", "h").agg(F.count("*").alias("n")), "dup-ids", n * 24)
+    several = written(counts.where("id IS NOT NULL").groupBy("id").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "dup-several", n * 16)
     own = F.lit(2**62) + F.pmod(F.xxhash64("id", "h"), F.lit(2**61))
     uid = F.when(F.col("id").isNull() | (F.col("first").isNotNull() & (F.col("h") != F.col("first"))), own).otherwise(F.col("id"))
     named = keyed.join(several, "id", "left").select("row", "h", uid.alias("uid"))
     near = neardup.near_duplicates(named.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")))
-    gone = written(near.where("NOT kept").select(F.col("doc_id").alias("uid")).distinct(), "dup-gone")
+    gone = written(near.where("NOT kept").select(F.col("doc_id").alias("uid")).distinct(), "dup-gone", n * 8)
     kept = named.join(gone, "uid", "left_anti")
-    again = written(counts.where("n > 1").select("h").distinct(), "dup-repeated")
+    again = written(counts.where("n > 1").select("h").distinct(), "dup-repeated", n * 8)
     once = kept.join(again, "h", "left_anti").select("row")
     repeated = kept.join(again, "h", "left_semi").groupBy("uid", "h").agg(F.min("row").alias("row")).select("row")
     return once.unionByName(repeated).select("row.*")
@@ -59,10 +59,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; rows that repeat doc_id, text and source share what the mix takes of them."""
-    keys = ("id", "source", "h")
+    keys, size = ("id", "source", "h"), docs.count() * 60
     mixed = mixing.mix(docs).where("size > 0").groupBy(F.col("doc_id").alias("id"), "source", "h").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"), F.count("*").alias("n"))
-    alone = written(mixed.where("copies > 0 AND n = 1"), "mix-alone")
-    shared = written(mixed.where("copies > 0 AND n > 1"), "mix-shared")
+    alone = written(mixed.where("copies > 0 AND n = 1"), "mix-alone", size)
+    shared = written(mixed.where("copies > 0 AND n > 1"), "mix-shared", size)
     keyed = _packed(docs, id=docs["doc_id"], source=docs["source"], h=mixing.shuffle_hash(docs["doc_id"], docs["text"]))
     same = lambda t: [keyed[k].eqNullSafe(t[k]) for k in keys]
     single = keyed.join(alone, same(alone)).select("row", "copies")

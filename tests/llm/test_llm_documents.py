@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomweave.llm import language, mixing, neardup, pieces, pii, quality, sharding, sstable, substrings
+from atomweave.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, row long, h long, shard int, id long, key long, ids string"
 WORDS = "the of and to in that was with for on as by at from this is it be or are".split()
@@ -126,6 +128,49 @@ def test_near_duplicates_large_bucket_of_unlinked_members(spark):
     assert as_map(neardup.near_duplicates(frame(spark, docs), 4)) == near(docs, 4)
 
 
+def test_components_by_union_find_and_in_rounds(spark):
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(-3, 40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(900, i) for i in range(500, 560)] + [(7, 7), (2**62, 2**61)]
+    for rows in (links, []):
+        root = {x: x for pair in rows for x in pair}
+        for _ in root:
+            for a, b in rows:
+                root[a] = root[b] = min(root[a], root[b])
+        df = spark.createDataFrame(rows, "a long, b long").repartition(5)
+        for few in (len(links), 0):
+            assert {r["id"]: r["component"] for r in components(df, few).collect()} == root
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    import corpus_pipeline
+    from atomweave.llm import _common
+
+    files = []
+
+    def counted(df, *args):
+        out = _common.written(df, *args)
+        files.append((args[0], len(out.inputFiles())))
+        return out
+
+    for module in (corpus_pipeline, mixing, neardup, pii, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "written", counted)
+    texts = [" ".join(f"w{(i // 2 * 31 + j * (1 + i // 2)) % 97}" for j in range(40)) + (" end" if i % 2 else "") + f" mail m{i}@site.org" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 60, 2))
+        corpus_pipeline.mask_personal_data(spark, docs, "")
+        corpus_pipeline.mix_sources(spark, docs, "")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {t for t, n in files if n > 1} <= {"sets", "pii-seen", "mix-sizes"}  # these come from the texts, in the same tasks
+    assert len(files) < 45
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(0)
     a, b = np.unique(rng.integers(0, 2**63, 900, np.uint64)), np.unique(rng.integers(0, 2**63, 300, np.uint64))
