@@ -37,7 +37,7 @@ IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 TOKEN = r"(?<![^\s\"'(<\[=:])(?=[^\s\"'<>\[\]]*(?:[0-9@]|\(at\)))[A-Za-z0-9+(][^\s\"'<>\[\],;]{2,}[A-Za-z0-9](?![A-Za-z0-9@])"
 #: Groups of digits with single blanks between some: what an unseen card or phone number can also look like.
 RUN = r"(?<![^\s\"'(<\[=:])[+(]?+[0-9]++(?![A-Za-z@])(?:[().-]*+\x20?+[().-]*+[0-9]++(?![A-Za-z@]))++"
-#: Code points before a span that are searched for the two words.
+#: Code points before a span, and behind it, that are searched for words.
 REACH = 1000
 #: Where a value can begin inside a word: the character before it and its first one.
 GLUE = r"[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]|[^0-9][0-9]|.\+|[\"'(<\[=:]\("
@@ -73,15 +73,15 @@ def _spans(text: Column, pattern: str, kind: int, passes) -> Column:
     Matches and the pieces between them alternate, so their lengths give the places.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-    zipped = F.arrays_zip(pieces.alias("p"), found.alias("m"), rest(pieces).alias("np"), rest(found).alias("nm"))
+    zipped = F.arrays_zip(pieces.alias("p"), found.alias("m"))
 
     def step(acc, x):
         start = acc["pos"] + F.length(x["p"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         left = F.right(F.concat(acc["tail"], x["p"]), F.lit(REACH))
         left = F.when(start > REACH, F.regexp_replace(left, r"^\S+", "")).otherwise(left)  # no part of a word
-        right = F.left(F.concat(x["np"], F.coalesce(x["nm"], F.lit(""))), F.lit(REACH))
+        right = text.substr(end + 1, F.lit(REACH + 1))
+        right = F.when(F.length(right) > REACH, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
         span = F.array(F.struct(F.lit(kind).alias("k"), start.alias("s"), end.alias("e"), x["m"].alias("v"), left.alias("left"), right.alias("right"))).cast(SPAN)
         out = F.when(x["m"].isNotNull() & F.coalesce(passes(x["m"]), F.lit(False)), F.concat(acc["out"], span)).otherwise(acc["out"])
         tail = F.right(F.concat(acc["tail"], x["p"], F.coalesce(x["m"], F.lit(""))), F.lit(REACH))
